@@ -259,10 +259,10 @@ def p17(t):
 @check(
     "p18_series_overlaps_weekend",
     f"""WITH {{lv}} SELECT source_id, bool_or(left(date_value, 10) BETWEEN '{FRIDAY}' AND '{SUNDAY}')
-     OR (min(left(date_value, 10)) <= '{SUNDAY}' AND max({END}) >= '{FRIDAY}') AS in_weekend FROM lv WHERE line < 3 GROUP BY 1""",
+     OR (min(left(date_value, 10)) <= '{SUNDAY}' AND max({END}) >= '{FRIDAY}') AS in_weekend FROM lv GROUP BY 1""",
 )
 def p18(t):
-    rows = listings(t, "source_id", "date_value", "end_date_value", "line").filter("line < 3")
+    rows = listings(t, "source_id", "date_value", "end_date_value")
     inside = dates.day10("date_value").between(FRIDAY, SUNDAY)
     spans = rows.groupBy("source_id").agg(
         F.bool_or(inside).alias("inside"), F.min(dates.day10("date_value")).alias("a"),

@@ -73,10 +73,7 @@ def url_key(url: str | Column) -> Column:
 
 def url_identity(url: str | Column) -> Column:
     """``struct(host, path, value)``: two URLs with the same host match on equal values, or on path without values."""
-    pairs = query_pairs(url)
-    value = first_nonempty(
-        *[F.try_element_at(F.transform(F.filter(pairs, lambda p, k=k: _pair_key(p) == k), _pair_value), F.lit(1)) for k in IDENTITY_PARAMETERS]
-    )
+    value = first_nonempty(*[query_value(url, k) for k in IDENTITY_PARAMETERS])
     trimmed = F.regexp_replace(path(url), "/+$", "")
     return F.struct(
         F.regexp_replace(host(url), r"^www\.", "").alias("host"),
@@ -146,11 +143,7 @@ def map_url_coordinates(url: str | Column) -> Column:
     """Coordinates in a map URL: ``@lat,lon`` first, then the usual destination parameters."""
     pattern = r"@(-?\d{1,2}(?:\.\d+)?),(-?\d{1,3}(?:\.\d+)?)"
     in_path = _valid_pair(F.regexp_extract(text(url), pattern, 1), F.regexp_extract(text(url), pattern, 2))
-    pairs = query_pairs(url)
-    named = [
-        coordinates(F.replace(F.try_element_at(F.transform(F.filter(pairs, lambda p, k=k: _pair_key(p) == k), _pair_value), F.lit(1)), F.lit("%2C"), F.lit(",")))
-        for k in ("destination", "daddr", "q", "query")
-    ]
+    named = [coordinates(F.replace(query_value(url, k), F.lit("%2C"), F.lit(","))) for k in ("destination", "daddr", "q", "query")]
     return F.when(F.length(host(url)) > 0, first_nonempty(in_path, *named)).otherwise(F.lit(""))
 
 

@@ -16,8 +16,9 @@ from .keep import keep_last, top_n
 def alias_index(events: DataFrame, order: list[str], id: str = "id", legacy: str = "legacy_ids") -> DataFrame:
     """``alias -> id``; the last event that claims an alias owns it."""
     own = F.array_union(F.array(F.col(id)), F.coalesce(F.col(legacy), F.array().cast("array<string>")))
-    claims = events.select(F.explode(own).alias("alias"), F.col(id).alias("id"), *order).filter(F.length(text("alias")) > 0)
-    return keep_last(claims, ["alias"], order).select("alias", "id")
+    ties = [o for o in order if o != "id"]
+    claims = events.select(F.explode(own).alias("alias"), F.col(id).alias("id"), *ties).filter(F.length(text("alias")) > 0)
+    return keep_last(claims, ["alias"], [*ties, "id"]).select("alias", "id")
 
 
 def first_rule_match(refs: DataFrame, ref_key: str, rules: list[DataFrame], order: list[str]) -> DataFrame:
@@ -26,7 +27,7 @@ def first_rule_match(refs: DataFrame, ref_key: str, rules: list[DataFrame], orde
     References without a match are kept with a NULL ``id`` and rule 0.
     """
     tagged = [m.select(ref_key, "id", *order, F.lit(i).alias("rule")) for i, m in enumerate(rules, 1)]
-    best = top_n(reduce(DataFrame.unionByName, tagged), [ref_key], [F.col("rule"), *[F.col(o) for o in order]], 1)
+    best = top_n(reduce(DataFrame.unionByName, tagged), [ref_key], [F.col("rule"), *[F.col(o) for o in order], F.col("id")], 1)
     return refs.join(best.select(ref_key, "id", "rule"), ref_key, "left").withColumn("rule", F.coalesce("rule", F.lit(0)))
 
 
