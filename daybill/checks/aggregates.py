@@ -138,7 +138,6 @@ def collection_inputs(t):
     return configs, resolved, collections.members(resolved, sessions, rows.select("id", "city"), NOW)
 
 
-_CLOSING = "CASE WHEN end_date_value = '' THEN left(date_value, 10) || 'T23:59:59' WHEN contains(end_date_value, 'T') THEN end_date_value || ':59' ELSE end_date_value || 'T23:59:59' END"
 _CLOSING = "CASE WHEN end_date_value = '' THEN left(date_value, 10) || 'T23:59:59' WHEN contains(end_date_value, 'T') THEN end_date_value || ':00' ELSE end_date_value || 'T23:59:59' END"
 _MEMBERS = f"""WITH {{lv}}, m AS (SELECT region AS slug, city, ord, id, quantity % 10 <> 0 AS known, {_CLOSING} >= '{NOW}' AS current, left(date_value, 10) AS a,
   left({first_nonempty_sql('end_date_value', 'date_value')}, 10) AS b FROM lv)"""
@@ -181,9 +180,9 @@ def a14(t):
     return catalog.histogram(rows.filter(notices.is_fallback_image("image") & dates.is_upcoming("date_value", "end_date_value", TODAY)), "source")
 
 
-@check("a18_duplicate_catalog_keys", "WITH {lv} SELECT 'part-' || part AS id, count(*) AS n FROM lv WHERE line <> 7 GROUP BY 1 HAVING count(*) > 1")
+@check("a18_duplicate_catalog_keys", "WITH {lv} SELECT 'part-' || part AS id, count(*) AS n FROM lv GROUP BY 1 HAVING count(*) > 1")
 def a18(t):
-    rows = listings(t, "part", "line").filter("line <> 7")
+    rows = listings(t, "part")
     return rows.groupBy(F.concat(F.lit("part-"), F.col("part").cast("string")).alias("id")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
@@ -214,9 +213,9 @@ def a20(t):
 _COST_PRICE = ["", "$5–$12", "", "", "", "$4–$8", "", "", ""]
 
 
-@check("a21_price_labels", f"WITH {{lv}} SELECT id, {options(_COST_PRICE, 'part + supp')} AS label, CASE WHEN quantity = 7 THEN '$7' ELSE '$7–$' || quantity END AS prices FROM lv WHERE quantity >= 7")
+@check("a21_price_labels", f"WITH {{lv}} SELECT id, {options(_COST_PRICE, 'part + supp')} AS label, CASE WHEN quantity = 7 THEN '$7' WHEN quantity < 7 THEN '$' || quantity || '–$7' ELSE '$7–$' || quantity END AS prices FROM lv")
 def a21(t):
-    rows = listings(t, "part", "supp", "quantity").filter("quantity >= 7")
+    rows = listings(t, "part", "supp", "quantity")
     prices = F.concat(F.lit("Entry $"), F.col("quantity").cast("string"), F.lit(", members $7"))
     return rows.select("id", commerce.price_label(_pick(COSTS, F.col("part") + F.col("supp"))).alias("label"), commerce.price_label(prices).alias("prices"))
 

@@ -30,13 +30,22 @@ _FROM_PART = {"title", "description", "place"}
 
 
 class Tables:
-    """Lazy readers of the tables in one folder."""
+    """Lazy readers of the tables in one folder.
+
+    A local test table is one file with one row group, which Spark can only read as one task; in local mode the large
+    tables are spread over the cores. On a cluster the files give the tasks and nothing is moved.
+    """
+
+    _LARGE = ("lineitem", "events", "documents", "pages", "conversations")
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        context = spark.sparkContext
+        self._spread = context.defaultParallelism if context.master.startswith("local") else 0
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return df.repartition(self._spread) if self._spread > 1 and name in self._LARGE else df
 
 
 def _pick(options: list[str], index: Column) -> Column:

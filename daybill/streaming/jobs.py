@@ -36,22 +36,21 @@ STREAK_SCHEMA = "source BIGINT, ts TIMESTAMP, event_id BIGINT, failure_streak BI
 class StreakProcessor(StatefulProcessor):
     """Consecutive failures of a source, carried across micro-batches; one counter of state per source.
 
-    A micro-batch hands over the rows of a source in chunks, and only the counter is kept between chunks.
+    A streak depends on the order of runs, and the chunks of a source arrive unordered, so the source's rows of one
+    micro-batch are sorted together. The trigger's ``maxFilesPerTrigger``/``maxBytesPerTrigger`` bounds them.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.streak = handle.getValueState("streak", "failures BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        count = int(self.streak.get()[0]) if self.streak.exists() else 0
-        for chunk in rows:
-            chunk = chunk.sort_values(["ts", "event_id"])
-            streaks = []
-            for ok in chunk["ok"]:
-                count = 0 if ok else count + 1
-                streaks.append(count)
-            yield pd.DataFrame({"source": key[0], "ts": chunk["ts"], "event_id": chunk["event_id"], "failure_streak": streaks})
-        self.streak.update((count,))
+        before = int(self.streak.get()[0]) if self.streak.exists() else 0
+        runs = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        failed = (~runs["ok"].astype(bool)).astype("int64")
+        island = runs["ok"].astype(int).cumsum()
+        streaks = failed.groupby(island).cumsum() + failed.where(island == 0, 0).gt(0) * before
+        self.streak.update((int(streaks.iloc[-1]),))
+        yield pd.DataFrame({"source": key[0], "ts": runs["ts"], "event_id": runs["event_id"], "failure_streak": streaks})
 
     def close(self) -> None:
         pass
