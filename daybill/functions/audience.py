@@ -66,6 +66,7 @@ OFFICIAL_AUDIENCE = "Official audience information"
 # ---------------------------------------------------------------------------------------------------------------
 
 _RANGES = "array<struct<lo:int,hi:int>>"
+_WRITTEN_AGE = rf"ages?\s*{_AGE}"
 
 
 def _age_number(token: Column) -> Column:
@@ -73,9 +74,14 @@ def _age_number(token: Column) -> Column:
     return F.coalesce(token.try_cast("int"), F.when(word >= 0, word))
 
 
-def _ranges(lows: Column, highs: Column) -> Column:
-    pairs = F.zip_with(lows, highs, lambda a, b: F.struct(_age_number(a).alias("lo"), _age_number(b).alias("hi")))
-    return F.filter(pairs, lambda r: (r["lo"] >= 0) & (r["hi"] >= r["lo"]) & (r["hi"] <= 18))
+def _valid(ranges: Column) -> Column:
+    return F.filter(ranges, lambda r: (r["lo"] >= 0) & (r["hi"] >= r["lo"]) & (r["hi"] <= 18))
+
+
+def _ranges(value: Column, pattern: str) -> Column:
+    """Ranges of every match; the two ages are cut out of the (few) matches, not searched in the whole text again."""
+    age = lambda match, group: _age_number(first_group(match, pattern, group))
+    return _valid(F.transform(all_groups(value, pattern, 0), lambda m: F.struct(age(m, 1).alias("lo"), age(m, 2).alias("hi"))))
 
 
 def merge_ranges(ranges: Column) -> Column:
@@ -117,12 +123,12 @@ def range_labels(ranges: Column) -> Column:
 
 
 def explicit_ranges(value: Column) -> Column:
-    found = [_ranges(all_groups(value, p, 1), all_groups(value, p, 2)) for p in RANGE_PATTERNS]
-    under = all_groups(value, UNDER_PATTERN, 1)
-    found.append(_ranges(F.transform(under, lambda _: F.lit("0")), under))
+    """Stated age ranges; text without a digit or an age word next to one is skipped."""
+    under = F.transform(all_groups(value, UNDER_PATTERN, 1), lambda a: F.struct(F.lit(0).alias("lo"), a.try_cast("int").alias("hi")))
     up = first_group(value, UP_PATTERN)
-    found.append(F.when(F.length(up) > 0, _ranges(F.array(up), F.array(F.lit("18")))).otherwise(F.array().cast(_RANGES)))
-    return F.concat(*found)
+    open_range = F.when(F.length(up) > 0, _valid(F.array(F.struct(up.try_cast("int").alias("lo"), F.lit(18).alias("hi"))))).otherwise(F.array().cast(_RANGES))
+    found = F.concat(*[_ranges(value, p) for p in RANGE_PATTERNS], _valid(under), open_range)
+    return F.when(value.rlike("[0-9]") | has(value, _WRITTEN_AGE), found).otherwise(F.array().cast(_RANGES))
 
 
 def band_ranges(lower: Column) -> Column:
@@ -134,16 +140,17 @@ def band_ranges(lower: Column) -> Column:
 
 def grade_ranges(lower: Column) -> Column:
     """Grade bands as conventional ages with the organizer's wording; invalid bands dropped."""
-    firsts, lasts = all_groups(lower, GRADE_PATTERN, 1, False), all_groups(lower, GRADE_PATTERN, 2, False)
 
-    def build(a: Column, b: Column) -> Column:
+    def build(match: Column) -> Column:
+        a, b = first_group(match, GRADE_PATTERN, 1, False), first_group(match, GRADE_PATTERN, 2, False)
         kinder = a.isin("k", "kindergarten")
         low, high = F.when(kinder, 0).otherwise(a.try_cast("int")), b.try_cast("int")
         label = F.concat(F.lit("Grades "), F.when(kinder, F.lit("K")).otherwise(low.cast("string")), F.lit("–"), high.cast("string"))
         ok = (high >= low) & (high <= 12)
         return F.when(ok, F.struct(F.when(kinder, 5).otherwise(low + 5).alias("lo"), (high + 5).alias("hi"), label.alias("label")))
 
-    return F.array_compact(F.zip_with(firsts, lasts, build))
+    found = F.array_compact(F.transform(all_groups(lower, GRADE_PATTERN, 0, False), build))
+    return F.when(F.contains(lower, F.lit("grade")), found).otherwise(F.array().cast("array<struct<lo:int,hi:int,label:string>>"))
 
 
 def age_info(value: str | Column) -> Column:

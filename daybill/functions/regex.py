@@ -8,6 +8,7 @@ a word character needs only a one-sided look-around, which is several times chea
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,21 +16,128 @@ from pyspark.sql import functions as F
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 _BEFORE_WORD = r"(?<![A-Za-z0-9_])"
 _AFTER_WORD = r"(?![A-Za-z0-9_])"
-
-
-def _plain_alternation(body: str) -> bool:
-    """True when every alternative is letters, digits, spaces or hyphens only and starts and ends with a word char."""
-    return all(re.fullmatch(r"[A-Za-z0-9](?:[A-Za-z0-9 -]*[A-Za-z0-9])?", part) for part in body.split("|"))
-
-
+_WORD_CLASS = re.compile(r"\[[A-Za-z0-9_-]+\]")
+
+
+def _close(pattern: str, start: int) -> int:
+    """Index of the parenthesis that closes the one at ``start``."""
+    depth, i, in_class = 0, start, False
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 1
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+            if depth == 0:
+                return i
+        i += 1
+    return -1
+
+
+def _alternatives(body: str) -> list[str]:
+    """Top-level alternatives of a group body."""
+    parts, depth, start, i, in_class = [], 0, 0, 0, False
+    while i < len(body):
+        ch = body[i]
+        if ch == "\\":
+            i += 1
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            parts.append(body[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, body[start:]]
+
+
+def _atoms(alternative: str) -> list[tuple[str, bool]]:
+    """The atoms of an alternative in order, each with whether it may be absent."""
+    atoms, i = [], 0
+    while i < len(alternative):
+        start, ch = i, alternative[i]
+        if ch == "\\":
+            i += 2
+        elif ch == "(":
+            i = _close(alternative, i) + 1
+        elif ch == "[":
+            i = alternative.index("]", i + 1) + 1
+        else:
+            i += 1
+        atom = alternative[start:i]
+        quantifier = re.match(r"(?:[?*+]|\{\d+(?:,\d*)?\})\??", alternative[i:])
+        optional = bool(quantifier) and (quantifier.group()[0] in "?*" or quantifier.group().startswith("{0"))
+        i += quantifier.end() if quantifier else 0
+        atoms.append((atom, optional))
+    return atoms
+
+
+def _is_word_atom(atom: str, at_end: bool) -> bool:
+    if atom in (r"\d", r"\w") or (len(atom) == 1 and re.fullmatch(r"[A-Za-z0-9_]", atom)):
+        return True
+    if _WORD_CLASS.fullmatch(atom):
+        return "-" not in atom or bool(re.fullmatch(r"\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9_])+\]", atom))
+    if atom.startswith("(") and not atom.startswith(("(?=", "(?!", "(?<")):
+        body = atom[3:-1] if atom.startswith("(?:") else atom[1:-1]
+        return all(_touches_word(part, at_end) for part in _alternatives(body))
+    return False
+
+
+def _touches_word(alternative: str, at_end: bool) -> bool:
+    """The text matched by the alternative certainly starts (or ends) with a word character."""
+    for atom, optional in reversed(_atoms(alternative)) if at_end else _atoms(alternative):
+        if not _is_word_atom(atom, at_end):
+            return False
+        if not optional:
+            return True
+    return False
+
+
+def _edges(alternative: str) -> str:
+    """Rewrite the boundaries of one alternative, recursively inside its groups."""
+    out, rest = "", alternative
+    while rest:
+        at = re.match(r"\\b", rest)
+        if at:
+            after = rest[2:]
+            if after and _touches_word(after, False):
+                out += _BEFORE_WORD
+            elif out and _touches_word(alternative[: len(alternative) - len(rest)], True):
+                out += _AFTER_WORD
+            else:
+                out += _EDGE
+            rest = after
+        elif rest[0] == "\\":
+            out, rest = out + rest[:2], rest[2:]
+        elif rest[0] == "[":
+            end = rest.index("]", 1) + 1
+            out, rest = out + rest[:end], rest[end:]
+        elif rest[0] == "(":
+            end = _close(rest, 0)
+            prefix = re.match(r"\(\?(?:[:=!]|<[=!])|\(", rest).group()
+            inner = "|".join(_edges(part) for part in _alternatives(rest[len(prefix):end]))
+            out, rest = out + prefix + inner + ")", rest[end + 1:]
+        else:
+            out, rest = out + rest[0], rest[1:]
+    return out
+
+
+@lru_cache(maxsize=None)
 def java(pattern: str, ignore_case: bool = True) -> str:
-    r"""Translate an ECMAScript-style literal (no backreferences to ``\b`` inside classes) for Spark."""
-    simple = re.fullmatch(r"\\b\(\?:([^()\\\[\]?*+.{}]+)\)\\b", pattern)
-    if simple and _plain_alternation(simple.group(1)):
-        body = f"{_BEFORE_WORD}(?:{simple.group(1)}){_AFTER_WORD}"
-    else:
-        body = re.sub(r"(\\\\)|\\b", lambda m: m.group(1) or _EDGE, pattern)
-    return ("(?iu)" if ignore_case else "") + body
+    """Translate an ECMAScript-style literal for Spark; case folds beyond ASCII only where the literal needs it."""
+    body = "|".join(_edges(part) for part in _alternatives(pattern)) if r"\b" in pattern else pattern
+    return ("" if not ignore_case else "(?i)" if pattern.isascii() else "(?iu)") + body
 
 
 def has(text: Column, pattern: str, ignore_case: bool = True) -> Column:
