@@ -10,6 +10,7 @@ from ..operators.keep import top_n
 from ..plans import feed, weekend
 from ..plans.listings import COSTS, _pick, listings
 from .joins import _DUP_SQL, duplicate_rows
+from ..session import durable
 from .predicates import CANDIDATE_WHERE, _ADULT, format_case, listing_type_case, type_case, weekend_rows
 from .registry import FRIDAY, NOW, SUNDAY, TODAY, check, day_sql, end_sql, first_nonempty_sql, options, q, rx
 
@@ -289,7 +290,7 @@ def g1(t):
     featured = duplicates.match_features(duplicate_rows(t)).withColumn(
         "priority", scoring.organizer_priority("url", "image", "source", "place", F.lit("rss"), "address")
     )
-    rows = duplicates.signatures(featured, ["ord", "id"]).withColumn("has_image", F.lit(True))
+    rows = durable(duplicates.signatures(featured, ["ord", "id"]).withColumn("has_image", F.lit(True)))
     return duplicates.merge_duplicates(rows.select("id", "slot", "priority", "has_image"), duplicates.pairs(rows))
 
 

@@ -248,7 +248,7 @@ CANDIDATE_WHERE = f"""{_LINK_STATUS} IN ('ok', 'redirected') AND NOT {rx('title'
  AND {OVERLAP('left(date_value, 10)', 'left(' + first_nonempty_sql('end_date_value', 'date_value') + ', 10)', q(FRIDAY), q(SUNDAY))}
  AND length(description) BETWEEN 45 AND 1100 AND quantity % 5 <> 0
  AND ({rx("title || ' ' || description", scoring.WEEKEND_FAMILY)} OR {rx("title || ' ' || description", scoring.WEEKEND_FOCUS)}
-  OR {type_case()} IN ('sports', 'arts') OR supp % 10 IN (0, 1, 4, 5, 6))"""
+  OR {type_case()} IN ('sports', 'arts') OR supp % 10 IN (0, 1, 3, 4, 5, 6, 8))"""
 
 
 @check("p17_weekend_candidates", f"WITH {{lv}} SELECT id, title FROM lv WHERE {CANDIDATE_WHERE}")
