@@ -10,10 +10,9 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "flagship_weekend_by_city", "p2_still_active", "p7_search_terms", "p9_family_relevance", "c1_type", "c4_age_info", "c5_cost_info", "k1_recommendation_score",
+    "flagship_weekend_by_city", "p2_still_active", "p7_search_terms", "p9_family_relevance", "c1_type", "c4_age_info", "c5_cost_info",
     "w1_keep_last_per_key", "w3_three_per_source", "w8_failure_streaks", "a1_series_cards", "a1_series_sessions", "a3_publication_funnel",
-    "j2_collection_references", "j3_pick_resolution", "j4_translation_join", "j5_source_contract", "j18_sitemap_candidates", "r4_gap_worklist",
-    "x2_plain_text", "k6_sentence_scores", "e6_page_facts", "e7_link_status", "st1_first_impressions",
+    "j2_collection_references", "x2_plain_text", "e6_page_facts", "st1_first_impressions",
 ]
 
 

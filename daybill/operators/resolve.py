@@ -31,11 +31,17 @@ def first_rule_match(refs: DataFrame, ref_key: str, rules: list[DataFrame], orde
     return refs.join(best.select(ref_key, "id", "rule"), ref_key, "left").withColumn("rule", F.coalesce("rule", F.lit(0)))
 
 
+def _earliest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Only the first event of a key can win a rule, so each key meets the references with one row."""
+    return top_n(rows, [key], [*[F.col(o) for o in order], F.col("id")], 1)
+
+
 def resolve_references(refs: DataFrame, events: DataFrame, sessions: DataFrame, order: list[str]) -> DataFrame:
     """Collection references ``(ref, ref_id, ref_url)``: by id or alias, then by event or session URL."""
     aliases = alias_index(events, order).join(events.select("id", *order), "id")
     by_id = refs.join(aliases, F.col("ref_id") == F.col("alias")).select("ref", "id", *order)
     links = events.select("id", "url", *order).unionByName(sessions.select("id", "url", *order))
+    links = _earliest(links, "url", order)
     by_url = refs.join(links, (F.col("ref_url") == F.col("url")) & (F.length(text("ref_url")) > 0)).select("ref", "id", *order)
     return first_rule_match(refs, "ref", [by_id, by_url], order)
 
@@ -43,11 +49,11 @@ def resolve_references(refs: DataFrame, events: DataFrame, sessions: DataFrame,
 def resolve_picks(refs: DataFrame, events: DataFrame, order: list[str]) -> DataFrame:
     """Picks ``(ref, ref_id, ref_url, ref_names)``: by id or alias, then URL identity, then edition title."""
     own = F.array_union(F.array("id"), F.coalesce(F.col("legacy_ids"), F.array().cast("array<string>")))
-    by_id = refs.join(events.select("id", *order, F.explode(own).alias("alias")), F.col("ref_id") == F.col("alias"))
+    by_id = refs.join(_earliest(events.select("id", *order, F.explode(own).alias("alias")), "alias", order), F.col("ref_id") == F.col("alias"))
     keyed = refs.select("ref", F.explode(urls.match_keys(F.col("ref_url"))).alias("key"))
-    by_url = keyed.join(events.select("id", *order, F.explode(urls.match_keys(F.col("url"))).alias("key")), "key")
+    by_url = keyed.join(_earliest(events.select("id", *order, F.explode(urls.match_keys(F.col("url"))).alias("key")), "key", order), "key")
     named = refs.select("ref", F.explode("ref_names").alias("name")).select("ref", edition_title_key("name").alias("key")).filter("key <> ''")
-    by_title = named.join(events.select("id", *order, edition_title_key("title").alias("key")), "key")
+    by_title = named.join(_earliest(events.select("id", *order, edition_title_key("title").alias("key")), "key", order), "key")
     return first_rule_match(refs, "ref", [m.select("ref", "id", *order) for m in (by_id, by_url, by_title)], order)
 
 
