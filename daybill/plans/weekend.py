@@ -67,7 +67,7 @@ def scored_candidates(rows: DataFrame, friday: str) -> DataFrame:
 def edition(rows: DataFrame, friday: str) -> DataFrame:
     """The picks of an edition in reading order, with labels and cut descriptions."""
     scored = scored_candidates(rows, friday)
-    city = F.coalesce(F.nullif(txt("city"), F.lit("")), F.lit("South Bay"))
+    city = F.coalesce(F.nullif(txt("city"), F.lit("")), F.lit("elsewhere"))
     pool = scored.withColumn("source", F.coalesce(F.nullif(txt("source"), F.lit("")), txt("place"))).withColumn("city", city)
     picks = pick_edition(pool, [-F.col("score"), F.col("date_value"), F.col("id")])
     chosen = pool.join(picks.select("id"), "id")
