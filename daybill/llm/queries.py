@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import exact, language, pieces, private
+from . import anchors, exact, hamming, language, neardup, packing, pieces, private, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,34 @@ def _private(read):
 @_query("op6_language_id")
 def _language(read):
     return language.predicted(read("documents"))
+
+
+@_query("op5_near_dedup")
+def _near(read):
+    return neardup.classes(read("documents")).drop("rid")
+
+
+@_query("op7_suffix_repeats")
+def _suffixes(read):
+    return suffixes.repeated_spans(read("documents"))
+
+
+@_query("op8_packing")
+def _packing(read):
+    return packing.packed(read("documents"))
+
+
+@_query("op10_repeated_passages")
+def _passages(read):
+    return anchors.remove_repeats(read("documents")).drop("kept_text")
+
+
+@_query("op3_toxicity")
+def _toxicity(read):
+    return toxicity.predicted(read("documents"), read("labels"))
+
+
+@_query("op9_hamming_top_k", hamming.ORACLE)
+def _hamming(read):
+    vectors = read("embeddings")
+    return hamming.top_k(vectors, vectors.filter(f"vec_id % {hamming.EVERY} = 0"))
