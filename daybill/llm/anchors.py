@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
 from .repeats import covered, keyed, kept_words, units
+from .store import stored
 from .words import mixed, runs, signed, slices, split_words
 
 PERIOD, COVER = 13, (0, 1, 3, 9)  # a perfect difference cover
@@ -77,7 +77,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     that share only the id are ordered by a hash of the text. An empty table gives no rows; other columns are ignored.
     """
     rows = keyed(docs, text, key)
-    candidates = rows.join(marks(rows, window), "rid")
-    found = durable(units(candidates, window, PERIOD - 1))
-    cuts = covered(found).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    found = stored(units(rows.join(stored(marks(rows, window)), "rid"), window, PERIOD - 1))
+    cuts = stored(covered(rows, found, window).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("cuts")))
     return kept_words(rows.join(cuts, "rid", "left"), window)

@@ -2,9 +2,10 @@
 
 A candidate window is a run of ``window`` words that an anchor search could not rule out. Windows next to each other whose
 least inner hash stands at the same word form a unit, whose extent depends on the words alone; so copies of a passage give
-equal units except at its ends. Equal units are settled by one grouping; only the windows of each first unit are compared
-one by one. A window that does not start first is covered, and every word under a covered window is removed. A window's
-first start always lies in a first unit, so the outcome equals comparing all windows.
+equal units except at its ends. Equal units are settled by one grouping; only windows of first units that share their least
+inner hash with another first unit are compared one by one. A window that does not start first is covered, and every word
+under a covered window is removed. A window's first start always lies in a first unit, so the outcome equals comparing all
+windows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
 from .words import mixed, runs, signed, slices, split_words
 
 INNER = 8  # words of the inner hashes that bound units
@@ -42,23 +44,11 @@ def minimisers(values: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
-def _units(words: np.ndarray, window: int, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First window and number of windows of each unit among the allowed windows of one text."""
-    picked = minimisers(runs(words, INNER), window - INNER + 1)
-    at = np.flatnonzero(allowed)
-    if not len(at):
-        return at, at
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = (at[1:] != at[:-1] + 1) | (picked[at[1:]] != picked[at[:-1]])
-    heads = np.flatnonzero(fresh)
-    return at[heads], np.diff(np.append(heads, len(at)))
-
-
 def units(candidates: DataFrame, window: int, reach: int) -> DataFrame:
-    """``(h1, h2, rid, doc_id, start, n, windows)`` from ``rid, doc_id, text, marks``.
+    """``(h1, h2, m, rid, doc_id, start, n)`` from ``rid, doc_id, text, marks``: the units of candidate windows.
 
     ``marks`` are word positions; windows that hold a mark not further than ``reach`` words from their start are candidates.
-    ``windows`` has two hashes for every window of the unit.
+    ``m`` is the least inner hash of all windows of the unit: units that share a window share it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +56,7 @@ def units(candidates: DataFrame, window: int, reach: int) -> DataFrame:
             words = split_words(batch.column("text"))
             hashes = words.hashes()
             marks = batch.column("marks")
-            rows, h1, h2, starts, counts, both = [], [], [], [], [], []
+            out = []
             for i in range(batch.num_rows):
                 own = hashes[words.first[i] : words.first[i + 1]]
                 total = len(own) - window + 1
@@ -76,31 +66,60 @@ def units(candidates: DataFrame, window: int, reach: int) -> DataFrame:
                 edge = np.zeros(total + 1, np.int64)
                 np.add.at(edge, np.clip(at - reach, 0, total), 1)
                 np.add.at(edge, np.clip(at + 1, 0, total), -1)
-                begin, number = _units(own, window, np.cumsum(edge[:-1]) > 0)
-                if not len(begin):
+                allowed = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                if not len(allowed):
                     continue
-                one, two = runs(own, window), runs(own, window, SECOND)
-                for b, c in zip(begin.tolist(), number.tolist()):
-                    x, y = one[b : b + c], two[b : b + c]
-                    h1.append(mixed(runs(x, c) ^ np.uint64(c))[0])
-                    h2.append(runs(y, c)[0])
-                    both.append(np.concatenate([x, y]).view(np.int64))
-                rows += [i] * len(begin)
-                starts.append(begin)
-                counts.append(number)
-            if not rows:
-                continue
-            index = pa.array(rows, pa.int64())
-            sizes = np.concatenate([[0], np.cumsum([len(b) for b in both])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(both)))
-            yield pa.RecordBatch.from_arrays(
-                [signed(np.array(h1, np.uint64)), signed(np.array(h2, np.uint64)), batch.column("rid").take(index), batch.column("doc_id").take(index),
-                 pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32)), lists],
-                ["h1", "h2", "rid", "doc_id", "start", "n", "windows"],
-            )
+                inner = runs(own, INNER)
+                picked = minimisers(inner, window - INNER + 1)[allowed]
+                fresh = np.ones(len(allowed), bool)
+                fresh[1:] = (allowed[1:] != allowed[:-1] + 1) | (picked[1:] != picked[:-1])
+                heads = np.flatnonzero(fresh)
+                number = np.diff(np.append(heads, len(allowed)))
+                place = mixed((np.arange(len(allowed)) - np.repeat(heads, number)).astype(np.uint64) + np.uint64(1))
+                one = np.add.reduceat(mixed(runs(own, window)[allowed] ^ place), heads)
+                two = np.add.reduceat(mixed(runs(own, window, SECOND)[allowed] ^ place), heads)
+                out.append((one, two, inner[picked[heads]], np.full(len(heads), i), allowed[heads], number))
+            if out:
+                one, two, least, rows, starts, counts = map(np.concatenate, zip(*out))
+                index = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [signed(one), signed(two), signed(least), batch.column("rid").take(index), batch.column("doc_id").take(index),
+                     pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32))],
+                    ["h1", "h2", "m", "rid", "doc_id", "start", "n"],
+                )
 
     kind = candidates.schema["doc_id"].dataType.simpleString()
-    return candidates.select("rid", "doc_id", "text", "marks").mapInArrow(run, f"h1 long, h2 long, rid long, doc_id {kind}, start int, n int, windows array<long>")
+    return candidates.select("rid", "doc_id", "text", "marks").mapInArrow(run, f"h1 long, h2 long, m long, rid long, doc_id {kind}, start int, n int")
+
+
+def windows(rows: DataFrame, window: int) -> DataFrame:
+    """``(w1, w2, rid, doc_id, start)``: every window of the units in ``spans`` (structs of start and n) of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = split_words(batch.column("text"))
+            hashes = words.hashes()
+            spans = batch.column("spans")
+            out = []
+            for i in range(batch.num_rows):
+                own = hashes[words.first[i] : words.first[i + 1]]
+                begin, number = _spans(spans[i])
+                at = np.repeat(begin - np.cumsum(number) + number, number) + np.arange(number.sum())
+                out.append((runs(own, window)[at], runs(own, window, SECOND)[at], np.full(len(at), i), at))
+            if out:
+                one, two, who, at = map(np.concatenate, zip(*out))
+                index = pa.array(who)
+                yield pa.RecordBatch.from_arrays(
+                    [signed(one), signed(two), batch.column("rid").take(index), batch.column("doc_id").take(index), pa.array(at.astype(np.int32))],
+                    ["w1", "w2", "rid", "doc_id", "start"],
+                )
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("rid", "doc_id", "text", "spans").mapInArrow(run, f"w1 long, w2 long, rid long, doc_id {kind}, start int")
+
+
+def _spans(value: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.asarray(value.values.field(f).to_numpy(zero_copy_only=False), np.int64) for f in ("start", "n"))
 
 
 def order() -> Column:
@@ -108,21 +127,22 @@ def order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "rid", "start")
 
 
-def covered(found: DataFrame) -> DataFrame:
+def covered(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """``(rid, start, n, keep)``: runs of windows that start earlier elsewhere; ``keep`` is the id of the earlier start.
 
-    ``found`` are units; it is read twice, so it should be stored.
+    ``found`` are the stored units of ``rows``.
     """
-    slim = found.select("h1", "h2", "doc_id", "rid", "start", "n")
-    leaders = slim.groupBy("h1", "h2").agg(F.min(order()).alias("lead"))
-    led = slim.join(leaders, ["h1", "h2"]).withColumn("leads", (F.col("rid") == F.col("lead.rid")) & (F.col("start") == F.col("lead.start")))
-    later = led.filter(~F.col("leads")).select("rid", "start", "n", F.col("lead.doc_id").alias("keep"))
-    firsts = found.join(leaders.select("h1", "h2", F.col("lead.rid").alias("rid"), F.col("lead.start").alias("start")).hint("merge"), ["h1", "h2", "rid", "start"])
-    single = firsts.dropDuplicates(["rid", "start"]).select(
-        "rid", "doc_id", "n", F.col("start").alias("base"), F.posexplode(F.slice("windows", F.lit(1), F.col("n"))).alias("i", "w1"), "windows"
-    ).select("rid", "doc_id", (F.col("base") + F.col("i")).alias("start"), "w1", F.expr("windows[i + n]").alias("w2"))
-    initial = single.groupBy("w1", "w2").agg(F.min(order()).alias("lead"), F.count("*").alias("times")).filter("times > 1")
-    again = single.join(initial, ["w1", "w2"]).filter((F.col("rid") != F.col("lead.rid")) | (F.col("start") != F.col("lead.start")))
+    first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "rid", "start", "n", "m")
+    leaders = stored(found.groupBy("h1", "h2").agg(F.min(first).alias("lead"), F.count("*").alias("times")))
+    led = found.select("h1", "h2", "rid", "start", "n").join(leaders.filter("times > 1"), ["h1", "h2"])
+    later = led.filter((F.col("rid") != F.col("lead.rid")) | (F.col("start") != F.col("lead.start"))).select("rid", "start", "n", F.col("lead.doc_id").alias("keep"))
+    # First units that share their least inner hash with other first units may share windows with them.
+    single = leaders.select(F.col("lead.m").alias("m"), F.col("lead.rid").alias("rid"), F.col("lead.start").alias("start"), F.col("lead.n").alias("n"))
+    contested = single.groupBy("m").agg(F.count("*").alias("times")).filter("times > 1").select("m")
+    spans = single.join(contested, "m").groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    each = stored(windows(rows.join(stored(spans), "rid"), window))
+    initial = each.groupBy("w1", "w2").agg(F.min(order()).alias("lead"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    again = each.join(initial, ["w1", "w2"]).filter((F.col("rid") != F.col("lead.rid")) | (F.col("start") != F.col("lead.start")))
     return later.unionByName(again.select("rid", "start", F.lit(1).alias("n"), F.col("lead.doc_id").alias("keep")))
 
 
@@ -142,9 +162,9 @@ def kept_words(rows: DataFrame, window: int) -> DataFrame:
                 stay = np.ones(len(codes), bool)
                 if cuts[i].is_valid and len(cuts[i]):
                     edge = np.zeros(len(codes) + 1, np.int64)
-                    starts = np.asarray(cuts[i].values.field("start").to_numpy(zero_copy_only=False), np.int64)
+                    starts, number = _spans(cuts[i])
                     np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + np.asarray(cuts[i].values.field("n").to_numpy(zero_copy_only=False), np.int64) + window - 1, -1)
+                    np.add.at(edge, starts + number + window - 1, -1)
                     stay = np.cumsum(edge[:-1]) <= 0
                 text = " ".join(words.vocabulary.take(pa.array(codes[stay])).to_pylist())
                 total.append(len(codes))

@@ -2,10 +2,9 @@
 
 Of every 43 consecutive 8-word starts the one with the least hash is retained, so any passage of 50 words retains at least
 one of its suffixes, chosen by content alone. A retained suffix is keyed by hashes of its first 8, 16, 32 and 64 words: in
-that order suffixes with a longer common beginning stand closer. The suffixes are sorted across the cluster by range; each
-sorted partition is compared with its neighbours, and the number of words a suffix may share with one bounds the windows
-around it. These are extended left and right and compared (see ``repeats``). The order ends with row and position, so a
-passage shared by many texts spreads over partitions.
+that order suffixes with a longer common beginning stand closer. The suffixes are sorted across the cluster by range and each
+is compared with its neighbours; where one begins alike, the windows around the suffix are extended left and right and
+compared (see ``repeats``). The order ends with row and position, so a passage shared by many texts spreads over partitions.
 """
 
 from __future__ import annotations
@@ -14,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
 from .repeats import INNER, covered, keyed, minimisers, units
+from .store import stored
 from .words import mixed, runs, signed, slices, split_words
 
 WINDOW = 50
@@ -93,14 +92,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     have no span; rows equal in id and text are one document. An empty table gives no rows; other columns are ignored.
     """
     rows = keyed(docs, text, key)
-    shared = neighbours(suffix_rows(rows, window)).groupBy("rid").agg(F.collect_list("pos").alias("marks"))
-    found = durable(units(rows.join(shared, "rid"), window, window - INNER))
-    cuts = covered(found).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "n", "keep"))).alias("cuts"))
+    shared = stored(neighbours(suffix_rows(rows, window)).groupBy("rid").agg(F.collect_list("pos").alias("marks")))
+    found = stored(units(rows.join(shared, "rid"), window, window - INNER))
+    cuts = covered(rows, found, window).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "n", "keep"))).alias("cuts"))
     # Runs of one text are merged in order: a run that begins behind all earlier ends opens a new span.
     end = lambda c: c["start"] + c["n"] + F.lit(window - 1)
     spans = cuts.select("rid", F.explode("cuts").alias("cut")).select("rid", F.col("cut.start").alias("start"), end(F.col("cut")).alias("end"), F.col("cut.keep").alias("keep"))
-    from pyspark.sql import Window
-
     line = Window.partitionBy("rid").orderBy("start", "end")
     reached = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans.withColumn("fresh", F.when(reached.isNull() | (F.col("start") > reached), 1).otherwise(0))
