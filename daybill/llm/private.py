@@ -20,7 +20,7 @@ from .words import slices
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")  # a long run without dots is one match, not a failure at each digit
 GROUP = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -31,7 +31,7 @@ LOOKALIKES = {
     "a": "аɑα", "c": "сϲ", "e": "еє", "h": "һ", "i": "іι", "j": "ј", "k": "κ", "m": "м", "o": "оοσ", "p": "рρ", "s": "ѕ", "t": "т",
     "v": "ν", "x": "хχ", "y": "уγ", "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙ", "J": "Ј", "K": "КΚ",
     "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "УΥ", "Z": "Ζ",
-    "@": "＠﹫", ".": "．。｡․", "+": "＋﹢", "-": "－‐‑‒–—−", " ": "    ",
+    "@": "＠﹫", ".": "．。｡․", "+": "＋﹢", "-": "－‐‑‒–—−", " ": "\u00a0\u2007\u2009\u202f",
 }
 # Digits spelled in the languages of the corpus.
 NUMERALS = {
@@ -122,7 +122,7 @@ def _numerals(text: str) -> list[tuple[int, int, str]]:
     def close() -> None:
         if len(run) >= MIN_SPELLED:
             for i, m in enumerate(run):
-                edits.append((m.start(), run[i + 1].start() if i + 1 < len(run) else m.end(), NUMERALS[m[0].lower()]))
+                edits.append((m.start(), run[i + 1].start() if i + 1 < len(run) else m.end(), NUMERALS[m[0].casefold()]))
         run.clear()
 
     for m in SPELLED.finditer(text):
