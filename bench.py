@@ -13,6 +13,7 @@ HEADLINE = [
     "flagship_weekend_by_city", "p2_still_active", "p7_search_terms", "p9_family_relevance", "c1_type", "c4_age_info", "c5_cost_info",
     "w1_keep_last_per_key", "w3_three_per_source", "w8_failure_streaks", "a1_series_cards", "a1_series_sessions", "a3_publication_funnel",
     "j2_collection_references", "x2_plain_text", "e6_page_facts", "st1_first_impressions",
+    "k1_recommendation_score", "j3_pick_resolution", "g2_first_results", "w5_base_ranking",
 ]
 
 
@@ -25,7 +26,7 @@ def main() -> None:
     repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     spark = local_session("bench")
     spark.sparkContext.setLogLevel("ERROR")
-    tables, checks = Tables(spark, folder), load()
+    tables, checks = Tables(spark, folder, spread=int(os.environ.get("BENCH_CPUS", "8"))), load()
     tables.lineitem.groupBy("l_returnflag").count().collect()  # start the JVM's code paths
     seconds: dict[str, float] = {}
     for name in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(","):

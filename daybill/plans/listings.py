@@ -32,16 +32,14 @@ _FROM_PART = {"title", "description", "place"}
 class Tables:
     """Lazy readers of the tables in one folder.
 
-    A local test table is one file with one row group, which Spark can only read as one task; in local mode the large
-    tables are spread over the cores. On a cluster the files give the tasks and nothing is moved.
+    ``spread`` deals the large tables over so many partitions. It is for benchmarks over one-file tables only: by default
+    the files give the tasks, in local mode as on a cluster.
     """
 
     _LARGE = ("lineitem", "events", "documents", "pages", "conversations")
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        context = spark.sparkContext
-        self._spread = context.defaultParallelism if context.master.startswith("local") else 0
+    def __init__(self, spark: SparkSession, folder: str, spread: int = 0):
+        self.spark, self.folder, self._spread = spark, folder.rstrip("/"), spread
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")

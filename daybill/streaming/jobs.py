@@ -79,20 +79,22 @@ def upsert(current: DataFrame, changed: DataFrame, key: str) -> DataFrame:
 def upsert_writer(root: str, key: str, fields: list[str], order: list[str]):
     """A ``foreachBatch`` function that publishes a new catalog version only when content changed.
 
-    The version is the batch id, so a replayed batch finds its own version and does nothing.
+    The version is the batch id. A batch that is replayed after its version was published does nothing; one replayed
+    after a crash before that writes its version anew. A failed read of the catalog fails the batch: only the absence of
+    any published version counts as an empty catalog.
     """
-    from ..sources.sinks import publish_table, read_published
+    from ..sources.sinks import publish_table, published_version, read_published
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, version = batch.sparkSession, f"{batch_id:010d}"
+        newest = published_version(spark, root)
+        if newest is not None and newest >= version:
+            return
         latest = keep_last(batch, [key], order)
-        try:
-            current = read_published(spark, root)
-        except Exception:  # noqa: BLE001  (first batch: nothing published yet)
-            current = latest.limit(0).withColumn("content_hash", F.lit(""))
+        current = latest.limit(0).withColumn("content_hash", F.lit("")) if newest is None else read_published(spark, root)
         changed = changed_rows(latest, current, key, fields)
         if not changed.isEmpty():
-            publish_table(upsert(current, changed, key), root, f"{batch_id:010d}")
+            publish_table(upsert(current, changed, key), root, version)
 
     return write
 
