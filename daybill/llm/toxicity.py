@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import held_out
+from .store import stored
 from .words import signed, slices, split_words
 
 SAMPLE_ROWS = 20_000  # the bound on the labelled rows that features and weights are learnt from
@@ -57,7 +58,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, text: str, key: str, label: st
     total = marked.count()
     share = min(1.0, SAMPLE_ROWS / max(total, 1))
     chosen = marked.filter(F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, "_key").select("text", "toxic")
+    sampled = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_key")
+    return stored(sampled.select("text", "toxic"))  # the ids are as bounded as the sample, so no text is shuffled
 
 
 class _Index:
