@@ -92,7 +92,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     have no span; rows equal in id and text are one document. An empty table gives no rows; other columns are ignored.
     """
     rows = keyed(docs, text, key)
-    shared = stored(neighbours(suffix_rows(rows, window)).groupBy("rid").agg(F.collect_list("pos").alias("marks")))
+    # Stored first: the range partitioning reads its input twice, to sample and to deal.
+    shared = stored(neighbours(stored(suffix_rows(rows, window))).groupBy("rid").agg(F.collect_list("pos").alias("marks")))
     found = stored(units(rows.join(shared, "rid"), window, window - INNER))
     cuts = covered(rows, found, window).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "n", "keep"))).alias("cuts"))
     # Runs of one text are merged in order: a run that begins behind all earlier ends opens a new span.
