@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from .store import stored
 from .words import mixed, runs, signed, slices, split_words
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
@@ -117,13 +117,13 @@ def _sizes(a: Column, b: Column) -> Column:
 
 def labelled(links: DataFrame) -> DataFrame:
     """``(node, label)``: the least node each linked node reaches. Links are read again every round, so they are stored."""
-    both = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         spread = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
         step = labels.join(spread, "node").join(jump, "label").withColumn("next", F.least("label", "near", "far"))
-        following = durable(step.select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
+        following = stored(step.select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
         if following.filter("moved").isEmpty():
             return labels
         labels = following.drop("moved")
@@ -157,15 +157,22 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     alone = common.groupBy("node").agg(F.count("*").alias("shared"))
     ranked = common.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))).join(alone, "node")
     placed = ranked.withColumn("at", F.col("n") - F.col("shared") + F.col("i"))
-    prefix = placed.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * NEED / 100) + 1).select("s", "node", "label", "n", "at")
+    own, length = Window.partitionBy("node"), F.col("n") - F.ceil(F.col("n") * NEED / 100) + 1
+    prefix = placed.filter(F.col("at") <= length).select(
+        "s", "node", "label", "n", "at", (F.col("n") - length).alias("rest"), F.collect_list("s").over(own).alias("all"),
+        F.collect_list("s").over(own.orderBy("df", "s").rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+    )
     a, b = prefix.alias("a"), prefix.alias("b")
     least_both = F.ceil((F.col("a.n") + F.col("b.n")) * NEED / (100 + NEED))
     possible = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     alike = (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _sizes(F.col("a.n"), F.col("b.n"))
-    # "possible" counts from the first shared shingle; a later one passes only if the first does.
-    return a.join(b, (F.col("a.s") == F.col("b.s")) & alike & (possible >= least_both)).select(
+    # A pair is taken at its first shared shingle only. Of the side whose prefix ends first all shared shingles of the prefix
+    # are in the other's prefix, so what both prefixes share and the longer rest bound the overlap.
+    first = ~F.arrays_overlap("a.before", "b.before")
+    enough = F.size(F.array_intersect("a.all", "b.all")) + F.greatest("a.rest", "b.rest") >= least_both
+    return a.join(b, (F.col("a.s") == F.col("b.s")) & alike & (possible >= least_both) & first & enough).select(
         F.col("a.node").alias("a"), F.col("b.node").alias("b")
-    ).distinct()
+    )
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -175,19 +182,19 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     text without words is linked with nothing. Repeated rows are copies and share a class; all rows that bear its least id
     are kept. An empty table gives no rows; other columns are ignored.
     """
-    rows = durable(sketches(docs, text, key))
+    rows = stored(sketches(docs, text, key))
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"))
     # Copies have equal bands: one row of each node carries them.
     lead = rows.join(nodes.select("node", "rid"), ["node", "rid"]).select("node", "bands").dropDuplicates(["node"])
     every = lead.select("node", F.explode("bands").alias("band"))
     shared = every.groupBy("band").agg(F.count("*").alias("times")).filter("times > 1").select("band")
-    members = durable(every.join(shared, "band").select("band", "node"))
-    pairs = durable(star_pairs(members))
+    members = stored(every.join(shared, "band").select("band", "node"))
+    pairs = stored(star_pairs(members))
     touched = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = durable(full_sets(docs, nodes.select("node", "rid").join(touched, "node"), text, key))
-    links = durable(confirmed(pairs, sets))
-    rest = durable(unsettled(members, labelled(links)))
-    links = durable(links.unionByName(confirmed(prefix_pairs(rest, sets), sets)).distinct())
+    sets = stored(full_sets(docs, nodes.select("node", "rid").join(touched, "node"), text, key))
+    links = stored(confirmed(pairs, sets))
+    rest = stored(unsettled(members, labelled(links)))
+    links = stored(links.unionByName(confirmed(prefix_pairs(rest, sets), sets)).distinct())
     final = labelled(links).join(nodes.select("node", "least"), "node")
     least = final.groupBy("label").agg(F.min("least").alias("component"))
     reached = final.join(least, "label").select("node", "component")
