@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text, urls
 from ..functions.defaults import key_of
 from ..operators import catalog, duplicates, enrichment, resolve, series, supplements
+from ..operators.containment import containing
 from ..operators.keep import keep_last, top_n
 from ..operators.rank import ranked
 from ..plans.listings import listings
@@ -332,16 +333,7 @@ _FIRST = "regexp_extract(trim(text), '^\\S+\\s+\\S+\\s+\\S+\\s+\\S+\\s+\\S+')"
     "SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
 )
 def j27(t):
-    """Which documents contain an evidence text: joined on its first five-word window, then verified as a substring.
-
-    The windows of a document are the lookup side, so no document meets an evidence text it shares no window with.
-    """
-    words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda w: F.length(w) > 0)
-    evidence = t.benchmark.select("item_id", F.col("text").alias("evidence"), F.array_join(F.slice(words(F.col("text")), 2, 4), " ").alias("gram"))
-    doc = t.documents.select("doc_id", words(F.col("text")).alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " "))
-    hits = doc.select("doc_id", F.explode(F.array_distinct(grams)).alias("gram")).join(evidence, "gram").select("doc_id", "item_id", "evidence")
-    return hits.join(t.documents.select("doc_id", "text"), "doc_id").filter(F.contains("text", "evidence")).select("item_id", "doc_id").distinct()
+    return containing(t.documents, t.benchmark)
 
 
 @check("l1_missing_dates_last", "WITH {lv} SELECT id, row_number() OVER (ORDER BY CASE WHEN line = 6 THEN '9999' ELSE date_value END, ord, id) AS position FROM lv")

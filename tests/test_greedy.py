@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from daybill.operators import diversify as dv
 from daybill.operators import duplicates
+from daybill.operators.containment import containing
 from daybill.operators.keep import keep_last, top_n
 from daybill.operators.rank import ranked
 
@@ -85,8 +86,51 @@ def test_duplicates_merge_in_order_and_priority_takes_over(spark):
     merged = {r["id"]: r["keeper"] for r in duplicates.merge_duplicates(featured, edges).collect()}
     assert merged["a"] == merged["b"] == merged["c"] == "b"
     assert "e" not in merged and merged.get("d", "d") in ("d", "b")
-    large = {r["id"]: r["keeper"] for r in duplicates.merge_duplicates(featured, edges, max_component=1).collect()}
-    assert large["a"] == "b"
+    rounds = {r["id"]: r["keeper"] for r in duplicates.merge_duplicates(featured, edges, in_task=0).collect()}
+    assert rounds == merged
+
+
+def _loop_merge(rows, linked):
+    slots, member = [], {}
+    for r in sorted(rows, key=lambda r: r["slot"]["ord"]):
+        at = next((i for i, s in enumerate(slots) if (s["id"], r["id"]) in linked or (r["id"], s["id"]) in linked), None)
+        if at is None:
+            slots.append({"id": r["id"], "priority": r["priority"], "image": r["has_image"]})
+            member[r["id"]] = len(slots) - 1
+            continue
+        slot, member[r["id"]] = slots[at], at
+        either = slot["image"] or r["has_image"]
+        if r["priority"] > slot["priority"]:
+            slot["id"], slot["priority"] = r["id"], r["priority"] + (4 if either and not r["has_image"] else 0)
+        elif either and not slot["image"]:
+            slot["priority"] += 4
+        slot["image"] = either
+    return {i: slots[at]["id"] for i, at in member.items()}
+
+
+def test_components_of_any_size_follow_one_rule(spark):
+    rng = random.Random(3)
+    rows = [{"id": f"e{i:02d}", "slot": {"ord": i, "id": f"e{i:02d}"}, "priority": rng.randint(1, 9), "has_image": rng.random() < 0.4} for i in range(13)]
+    # A chain, where the first match decides, and a denser part with takeovers.
+    linked = {("e00", "e01"), ("e01", "e02"), ("e02", "e03")}
+    linked |= {(f"e{a:02d}", f"e{b:02d}") for a in range(4, 13) for b in range(a + 1, 13) if rng.random() < 0.4}
+    df = spark.createDataFrame(rows, "id string, slot struct<ord:long,id:string>, priority int, has_image boolean")
+    edges = spark.createDataFrame(sorted(linked), "a string, b string")
+    named = {i for pair in linked for i in pair}
+    expected = _loop_merge([r for r in rows if r["id"] in named], linked)
+    for most in (20_000, 4):
+        assert {r["id"]: r["keeper"] for r in duplicates.merge_duplicates(df, edges, in_task=most).collect()} == expected
+
+
+def test_containment_finds_short_cut_and_empty_evidence(spark):
+    docs = [(1, "the quick brown fox jumps over the lazy dog"), (2, "a  b\tc d e f g"), (3, ""), (4, None), (5, "naïve 漢字 text 😀 here"), (6, "the quick brown")]
+    items = ["the quick brown fox jumps ov", "ick brown fo", "fox", "ox ju", "b\tc", "", None, "漢", "字 text 😀 h", "z", "quick brown fox jumps over the lazy dog", "own fox jumps o", " b\tc d ", "a  b"]
+    evidence = list(enumerate(items))
+    got = containing(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(evidence, "item_id int, text string"))
+    expected = {(i, d) for i, e in evidence for d, text in docs if e is not None and text is not None and e in text}
+    assert {(r["item_id"], r["doc_id"]) for r in got.collect()} == expected
+    none = containing(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame([], "item_id int, text string"))
+    assert none.count() == 0
 
 
 def test_ranks_are_dense_and_ordered(spark):
