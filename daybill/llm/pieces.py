@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .words import slices
 
 SPACE = "▁"
-REMEMBERED = 300_000  # segments a worker keeps
+REMEMBERED = 300_000  # segments a worker keeps, or those of one batch if they are more
 
 
 class Codec:
@@ -99,8 +99,8 @@ class Codec:
         """Encode new segments and hold them against the library."""
         new = [s for s in segments if s not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(segments)
+            # Segments of the present batch stay: the frequent ones among them are not encoded anew.
+            self.known = {s: self.known[s] for s in segments if s in self.known}
         merged = [self.merge(s) for s in new]
         if self.check:
             # A line break is never part of a piece; behind it a segment stands as it would inside a text.
