@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from daybill.llm import exact, language, neardup, packing, private
 from daybill.session import shared_dir, ship
 
+NEAR = 80  # percent of the union of two texts' shingles; op5_near_dedup has its own, 85
+
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no learnt language can parse go."""
@@ -27,9 +29,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays."""
+    """One document of each class of near copies stays; copies share ``NEAR`` percent of their 5-word shingles or more."""
     ship(spark)
-    return neardup.drop_near(docs)
+    return neardup.drop_near(docs, need=NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ put texts into a bucket. Texts with equal sets are one node throughout, so copie
 In every bucket each member is paired with one centre, a star, and pairs are confirmed on the full sets. Members whose
 classes still differ after that are settled without loss: among them an exact prefix join (the rarest shingles of both
 sides, with size and position bounds) yields every pair that can reach the threshold, and those are confirmed too.
-A pair at the threshold misses all 40 bands with probability 7e-11.
+A pair at 85 percent misses all 40 bands with probability 7e-11, one at 80 percent with 1.3e-7.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .words import mixed, runs, signed, slices, split_words
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 BINS = BANDS * ROWS
-NEED = 85  # percent of the union
+NEED = 85  # percent of the union, unless a caller asks for another share
 _EDGES = np.array([-(-(i << 64) // BINS) for i in range(BINS)], np.uint64)
 _BIN = np.arange(BINS, dtype=np.uint64)
 
@@ -102,17 +102,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", key: str =
     return rows.select("node", "text").mapInArrow(run, "node binary, own array<long>").dropDuplicates(["node"]).select("node", F.size("own").alias("n"), "own")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets overlap enough."""
+def confirmed(pairs: DataFrame, sets: DataFrame, need: int = NEED) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets share ``need`` percent of their union or more."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("own").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("own").alias("sb"))
-    sized = pairs.join(left, "a").join(right, "b").filter(_sizes(F.col("na"), F.col("nb")))
+    sized = pairs.join(left, "a").join(right, "b").filter(_sizes(F.col("na"), F.col("nb"), need))
     both = F.size(F.array_intersect("sa", "sb"))
-    return sized.withColumn("both", both).filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * NEED).select("a", "b")
+    return sized.withColumn("both", both).filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * need).select("a", "b")
 
 
-def _sizes(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * NEED
+def _sizes(a: Column, b: Column, need: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * need
 
 
 def labelled(links: DataFrame) -> DataFrame:
@@ -144,10 +144,10 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return others.join(mixed_, "band").select("node", "label").distinct()
 
 
-def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+def prefix_pairs(rest: DataFrame, sets: DataFrame, need: int = NEED) -> DataFrame:
     """Distinct ``(a, b)`` of different classes that can reach the threshold.
 
-    Two such sets share a shingle within the first ``n - ceil(0.85 n) + 1`` of both in any common order; the order is rarest
+    Two such sets share a shingle within the first ``n - ceil(n need / 100) + 1`` of both in any common order; the order is rarest
     first. The overlap still possible behind the first shared shingles bounds the rest.
     """
     held = sets.join(rest, "node").select("node", "label", "n", F.explode("own").alias("s"))
@@ -157,15 +157,15 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     alone = common.groupBy("node").agg(F.count("*").alias("shared"))
     ranked = common.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))).join(alone, "node")
     placed = ranked.withColumn("at", F.col("n") - F.col("shared") + F.col("i"))
-    own, length = Window.partitionBy("node"), F.col("n") - F.ceil(F.col("n") * NEED / 100) + 1
+    own, length = Window.partitionBy("node"), F.col("n") - F.ceil(F.col("n") * need / 100) + 1
     prefix = placed.filter(F.col("at") <= length).select(
         "s", "node", "label", "n", "at", (F.col("n") - length).alias("rest"), F.collect_list("s").over(own).alias("all"),
         F.collect_list("s").over(own.orderBy("df", "s").rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
     )
     a, b = prefix.alias("a"), prefix.alias("b")
-    least_both = F.ceil((F.col("a.n") + F.col("b.n")) * NEED / (100 + NEED))
+    least_both = F.ceil((F.col("a.n") + F.col("b.n")) * need / (100 + need))
     possible = 1 + F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
-    alike = (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _sizes(F.col("a.n"), F.col("b.n"))
+    alike = (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _sizes(F.col("a.n"), F.col("b.n"), need)
     # A pair is taken at its first shared shingle only. Of the side whose prefix ends first all shared shingles of the prefix
     # are in the other's prefix, so what both prefixes share and the longer rest bound the overlap.
     first = ~F.arrays_overlap("a.before", "b.before")
@@ -175,8 +175,8 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row ``doc_id, n_shingles, component_id, kept`` and ``rid``.
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", need: int = NEED) -> DataFrame:
+    """Per row ``doc_id, n_shingles, component_id, kept`` and ``rid``; texts link that share ``need`` percent or more.
 
     ``component_id`` is the least id among the texts that links reach, the row's own included; null ids count as largest. A
     text without words is linked with nothing. Repeated rows are copies and share a class; all rows that bear its least id
@@ -192,9 +192,9 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     pairs = stored(star_pairs(members))
     touched = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = stored(full_sets(docs, nodes.select("node", "rid").join(touched, "node"), text, key))
-    links = stored(confirmed(pairs, sets))
+    links = stored(confirmed(pairs, sets, need))
     rest = stored(unsettled(members, labelled(links)))
-    links = stored(links.unionByName(confirmed(prefix_pairs(rest, sets), sets)).distinct())
+    links = stored(links.unionByName(confirmed(prefix_pairs(rest, sets, need), sets, need)).distinct())
     final = labelled(links).join(nodes.select("node", "least"), "node")
     least = final.groupBy("label").agg(F.min("least").alias("component"))
     reached = final.join(least, "label").select("node", "component")
@@ -204,8 +204,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     )
 
 
-def drop_near(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def drop_near(docs: DataFrame, text: str = "text", key: str = "doc_id", need: int = NEED) -> DataFrame:
     """The rows, with their columns, that stand for their class: the one of least id; repeated rows with that id all stay."""
-    gone = classes(docs, text, key).filter("not kept").select("rid").distinct()
+    gone = classes(docs, text, key, need).filter("not kept").select("rid").distinct()
     rows = docs.withColumn("_rid", F.xxhash64(F.col(key), F.col(text)))
     return rows.join(gone.withColumnRenamed("rid", "_rid"), "_rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
