@@ -291,7 +291,8 @@ def g1(t):
         "priority", scoring.organizer_priority("url", "image", "source", "place", F.lit("rss"), "address")
     )
     rows = durable(duplicates.signatures(featured, ["ord", "id"]).withColumn("has_image", F.lit(True)))
-    return duplicates.merge_duplicates(rows.select("id", "slot", "priority", "has_image"), duplicates.pairs(rows))
+    edges = duplicates.pairs(rows).unionByName(duplicates.twins(rows))
+    return duplicates.merge_duplicates(rows.select("id", "slot", "priority", "has_image"), edges, copies=duplicates.copies_of(featured, rows, ["ord", "id"]))
 
 
 @check(

@@ -122,6 +122,29 @@ def test_components_of_any_size_follow_one_rule(spark):
         assert {r["id"]: r["keeper"] for r in duplicates.merge_duplicates(df, edges, in_task=most).collect()} == expected
 
 
+def test_every_copy_has_the_keeper_of_the_loop(spark):
+    """Equal listings are paired once, but each takes its own turn, so a copy behind a takeover may end elsewhere."""
+    rng = random.Random(8)
+    titles = ["Moon Festival Lanterns", "Moon Festival Lantern Walk", "Lantern Walk Music"]
+    rows = [
+        (f"e{i:03d}", i, rng.choice(titles), rng.choice(["2026-09-25", "2026-09-25T18:00"]), rng.choice(["Milpitas", "Milpitas", None]), rng.choice(["A", None]), "12 Main Street")
+        for i in range(60)
+    ]
+    priority = F.when(F.col("source") == "A", 2).when(F.col("title").contains("Walk"), 5).otherwise(1)
+    df = spark.createDataFrame(rows, "id string, ord long, title string, date_value string, city string, source string, address string").withColumn("place", F.lit(""))
+    featured = duplicates.match_features(df.withColumn("priority", priority)).withColumn("slot", F.struct("ord", "id")).withColumn("has_image", F.lit(True))
+    linked = {(r["a"], r["b"]) for r in duplicates.pairs(featured).collect()}
+    named = {i for pair in linked for i in pair}
+    expected = _loop_merge([r.asDict() for r in featured.select("id", "slot", "priority", "has_image").collect() if r["id"] in named], linked)
+    signed = duplicates.signatures(featured, ["ord", "id"]).withColumn("has_image", F.lit(True))
+    edges = duplicates.pairs(signed).unionByName(duplicates.twins(signed))
+    copies = duplicates.copies_of(featured, signed, ["ord", "id"])
+    assert copies.count() == 60 - signed.count() > 20
+    for most in (20_000, 0):
+        got = duplicates.merge_duplicates(signed, edges, in_task=most, copies=copies).collect()
+        assert len(got) == len(expected) and {r["id"]: r["keeper"] for r in got} == expected
+
+
 def test_containment_finds_short_cut_and_empty_evidence(spark):
     docs = [(1, "the quick brown fox jumps over the lazy dog"), (2, "a  b\tc d e f g"), (3, ""), (4, None), (5, "naïve 漢字 text 😀 here"), (6, "the quick brown")]
     items = ["the quick brown fox jumps ov", "ick brown fo", "fox", "ox ju", "b\tc", "", None, "漢", "字 text 😀 h", "z", "quick brown fox jumps over the lazy dog", "own fox jumps o", " b\tc d ", "a  b"]
