@@ -21,7 +21,8 @@ from .words import slices
 
 BLOCK = 256
 TRAIN_SYMBOLS, EXCERPT, CELLS = 240_000, 1_000, 128  # the bound on the labelled sample: symbols in all, per text, texts a language
-UNKNOWN, REJECT = "und", 0.85
+UNKNOWN = "und"
+TIMES, REJECT = 1.5, 0.85  # a text may need so many times its language's own phrases a symbol; and never more than REJECT
 
 
 def held_out(key: Column | str, folds: int, fold: int) -> Column:
@@ -146,8 +147,10 @@ class Model:
                     break
                 to = table[state[:n] * width + columns[step, :n]].astype(np.int64)
                 missed = to < 0
+                if step:  # behind a letter that the language lacks, at the root again, a separator is a phrase too
+                    missed |= (state[:n] == 0) & (columns[step, :n] == 0)
                 found[:n] += missed
-                state[:n] = np.where(missed, -1 - to, to)
+                state[:n] = np.where(to < 0, -1 - to, to)
             back = np.empty(total, np.int64)
             back[order] = found
             counts[:, k] = np.bincount(owner, back, len(texts)).astype(np.int64)
@@ -166,6 +169,28 @@ class Model:
         names = [self.names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
         return names, score, np.where(known, least / np.maximum(sizes, 1), 1.0)
 
+    def parsed(self, texts: list[str | None], bounds: dict[str, float]) -> list[bool]:
+        """Whether the best language reads the text within its bound; a block's last phrase is not held against a text.
+
+        A short text may exceed the bound by a root of what it allows, the spread of such a count.
+        """
+        counts, sizes = self.phrases([t or "" for t in texts])
+        if not self.names:
+            return [False] * len(texts)
+        best = counts.argmin(axis=1)
+        excess = counts[np.arange(len(texts)), best] - -(-sizes // BLOCK)
+        allowed = np.array([bounds[n] for n in self.names])[best] * sizes
+        return ((sizes > 0) & (excess <= allowed + np.sqrt(allowed)) & (excess < REJECT * sizes)).tolist()
+
+
+def bounds_of(samples: dict[str, str], times: float = TIMES) -> dict[str, float]:
+    """Per language ``times`` the phrases a symbol that the second half of its sample needs of the first half."""
+    out = {}
+    for name, text in samples.items():
+        counts, sizes = Model({name: text[: len(text) // 2]}).phrases([text[len(text) // 2 :]])
+        out[name] = min(REJECT, times * float(counts[0, 0]) / float(sizes[0])) if sizes[0] else REJECT
+    return out
+
 
 _MODELS: dict[str, Model] = {}
 
@@ -203,19 +228,19 @@ def predicted(docs: DataFrame, text: str = "text", key: str = "doc_id", label: s
     return identify(docs, samples, text, key).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rate")
 
 
-def keep_known(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str = "lang", reject: float = REJECT) -> DataFrame:
+def keep_known(docs: DataFrame, text: str = "text", key: str = "doc_id", label: str = "lang", times: float = TIMES) -> DataFrame:
     """The rows, with their columns, whose text is in one of the learnt languages.
 
-    Rejected are texts without a letter and texts of which every language needs ``reject`` phrases a symbol or more, that is
-    hardly any two letters of which stand together in any language's text.
+    Rejected are texts without a letter and texts of which the best language needs over ``times`` the phrases a symbol that
+    it needs of its own labelled text: other scripts and other languages.
     """
     samples = sample(docs, label, text, key, ~held_out(key, 4, 2))
+    bounds = bounds_of(samples, times)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(samples)
         for batch in slices(batches, text, 4_000_000):
-            names, _, rate = model.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([n != UNKNOWN and r < reject for n, r in zip(names, rate.tolist())], pa.bool_()))
+            yield batch.filter(pa.array(model.parsed(batch.column(at).to_pylist(), bounds), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

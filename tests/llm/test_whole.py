@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import random
-import re
 
-import pytest
-
-from daybill.llm import neardup
+from daybill.llm import language, neardup
 from daybill.session import ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -62,3 +59,19 @@ def test_near_copies_stage_links_at_80_percent(spark):
     stage = dict(cp.STAGES)["near_dedup"]
     assert {r.doc_id for r in stage(spark, frame(spark, rows), "").collect()} == at_80
     assert {r.doc_id for r in neardup.classes(frame(spark, rows)).collect() if r.kept} == at_85
+
+
+# --- languages
+
+
+def test_texts_of_unlearnt_scripts_and_languages_go(spark):
+    rng = random.Random(1)
+    syllables = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["schr", "ung", "ach", "ei"], "cc": ["zo", "ril", "mak", "hut", "eg", "sni"]}
+    words = {lang: ["".join(rng.choice(s) for _ in range(rng.randrange(1, 4))) for _ in range(60)] for lang, s in syllables.items()}
+    prose = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(120))
+    rows = [(i, prose(lang), lang) for i, lang in enumerate(["aa", "bb"] * 60)] + [(200, prose("aa"), None), (201, prose("bb"), None), (202, words["aa"][0], None)]
+    russian = "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему. Всё смешалось в доме Облонских. "
+    other = [(300, russian * 20, None), (301, "привет", None), (302, prose("cc"), None), (303, "天地玄黄 宇宙洪荒 " * 30, None)]
+    assert {r.doc_id for r in language.keep_known(frame(spark, rows + other)).collect()} == {r[0] for r in rows}
+    model = language.Model({"aa": "ka lo"})
+    assert model.phrases(["ж ж ж"])[0][0, 0] == 6  # five symbols and the last phrase: no separator is free
