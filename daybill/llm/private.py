@@ -50,15 +50,27 @@ GLYPHS = re.compile("[" + "".join(map(re.escape, map(chr, FOLD))) + "]")
 _SIGN = r"(?:\[\s{0,3}(?:%s)\s{0,3}\]|\(\s{0,3}(?:%s)\s{0,3}\)|\{\s{0,3}(?:%s)\s{0,3}\}|<\s{0,3}(?:%s)\s{0,3}>)"
 BOXED_AT = re.compile(r"(?i)[\x20\t]{0,3}" + _SIGN % (("at",) * 4) + r"[\x20\t]{0,3}")
 BOXED_DOT = re.compile(r"(?i)[\x20\t]{0,3}" + _SIGN % (("dot|punkt|point|punto",) * 4) + r"[\x20\t]{0,3}")
-BARE = re.compile(
-    r"(?i)(?<=[a-z0-9])(?P<at>[\x20\t]+(?:at|@)[\x20\t]+)(?:[a-z0-9-]{1,63}(?P<dots>(?:(?:[\x20\t]+dot[\x20\t]+|\.)[a-z0-9-]{1,63}){0,4}?)"
-    rf"(?:[\x20\t]+dot[\x20\t]+|\.)(?:{ENDINGS}))(?![a-z0-9-])"
+_BOX_AT, _BOX_DOT = _SIGN % (("at",) * 4), _SIGN % (("dot|punkt|point|punto",) * 4)
+_DOT = rf"(?:[\x20\t]{{0,3}}{_BOX_DOT}[\x20\t]{{0,3}}|[\x20\t]{{1,3}}dot[\x20\t]{{1,3}}|\.)"
+_AT = rf"(?:[\x20\t]{{0,3}}{_BOX_AT}[\x20\t]{{0,3}}|[\x20\t]{{1,3}}(?:at|@)[\x20\t]{{1,3}}|@)"
+_LABEL = r"(?!(?:at|dot)(?![a-z0-9-]))[a-z0-9-]{1,63}+"
+# An address in any mixture of literal, boxed and bare signs.
+ADDRESS = re.compile(
+    rf"(?i)(?<![a-z0-9_%+-])(?P<local>(?!(?:at|dot)(?![a-z0-9_%+-]))[a-z0-9_%+-]{{1,64}}+(?:{_DOT}(?!(?:at|dot)(?![a-z0-9_%+-]))[a-z0-9_%+-]{{1,64}}+){{0,4}})"
+    rf"(?P<at>{_AT})(?P<domain>{_LABEL}(?:{_DOT}{_LABEL}){{1,5}})"
 )
-BARE_DOT = re.compile(r"(?i)[\x20\t]+dot[\x20\t]+")
+DOT = re.compile("(?i)" + _DOT)
+ENDING = re.compile(rf"(?i)(?:{ENDINGS})\Z")
+LETTERS = re.compile(r"(?i)[a-z]{2,}\Z")
 SPELLED = re.compile(r"(?i)(?<!\w)(?:" + "|".join(sorted(NUMERALS, key=len, reverse=True)) + r")(?!\w)")
+_NUMERAL = "(?:" + "|".join(sorted(NUMERALS, key=len, reverse=True)) + r")(?!\w)"
+_PART = rf"(?:[0-9]{{1,3}}|{_NUMERAL}(?:[\x20\t-]{{1,2}}{_NUMERAL}){{0,2}})"
+QUAD = re.compile(rf"(?i)(?<![\w.]){_PART}(?:{_DOT}{_PART}){{3}}(?!\w)")
+NUMBER = re.compile(rf"(?i)(?<!\w){_NUMERAL}|[0-9]+")
 RUN_GAP = re.compile(r"[\x20\t,.-]{1,2}")
 HINT = re.compile(r"(?i)[\[({<]\s{0,3}(?:at|dot|punkt|point|punto)\s{0,3}[\])}>]|[\x20\t]dot[\x20\t]|[\x20\t]@[\x20\t]|[\x20\t]at[\x20\t]+[a-z0-9-]{1,63}\.[a-z]")
-MIN_SPELLED = 7  # digits in a row of spelled numerals before they count as a number
+MIN_SPELLED = 7  # digits in a row, spelled or not, before the spelled ones count as parts of a number
+MIN_MIXED = 3  # spelled ones among them, for a phone number that has no plus sign
 
 
 def _luhn(digits: str) -> bool:
@@ -115,36 +127,69 @@ def rewrite(text: str, edits: list[tuple[int, int, str]]) -> tuple[str, list[int
     return "".join(parts), starts, ends
 
 
-def _numerals(text: str) -> list[tuple[int, int, str]]:
-    """Edits that make each long run of spelled digits one run of digits."""
-    edits, run = [], []
+def _numerals(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """Edits that make each long run of digits, some of them spelled, one run; and the spans of those that are of mixed digits."""
+    edits, run, mixtures = [], [], []
+    if not SPELLED.search(text):
+        return edits, mixtures
 
     def close() -> None:
-        if len(run) >= MIN_SPELLED:
-            for i, m in enumerate(run):
-                edits.append((m.start(), run[i + 1].start() if i + 1 < len(run) else m.end(), NUMERALS[m[0].casefold()]))
+        spelled = sum(1 for m in run if m[0].casefold() in NUMERALS)
+        total = spelled + sum(len(m[0]) for m in run if m[0].casefold() not in NUMERALS)
+        if spelled and total >= MIN_SPELLED:
+            for m, after in zip(run, [*run[1:], None]):
+                end = after.start() if after else m.end()
+                if m[0].casefold() in NUMERALS:
+                    edits.append((m.start(), end, NUMERALS[m[0].casefold()]))
+                elif after and after[0].casefold() in NUMERALS:
+                    edits.append((m.end(), end, ""))
+            if spelled < total and spelled >= MIN_MIXED and 9 <= total <= 15:
+                mixtures.append((run[0].start(), run[-1].end()))
         run.clear()
 
-    for m in SPELLED.finditer(text):
+    for m in NUMBER.finditer(text):
         if run and not RUN_GAP.fullmatch(text, run[-1].end(), m.start()):
             close()
         run.append(m)
     close()
+    return edits, mixtures
+
+
+def _signs(text: str) -> list[tuple[int, int, str]]:
+    """Edits of the signs of addresses and of the parts of IP addresses, in any mixture of forms."""
+    edits, at = [], 0
+    while m := ADDRESS.search(text, at):
+        dots = list(DOT.finditer(text, m.start("domain"), m.end("domain")))
+        bare = m["at"].strip().lower() in ("at", "@") and m["at"] != "@"
+        at = m.end("local")
+        for n in range(len(dots), 0, -1):  # the longest domain with an ending
+            end = dots[n].start() if n < len(dots) else m.end("domain")
+            literal = all(d[0] == "." for d in dots[:n])
+            if (ENDING if bare and literal else LETTERS).match(text, dots[n - 1].end(), end):
+                edits.append((*m.span("at"), "@"))
+                edits += [(*d.span(), ".") for d in [*DOT.finditer(text, m.start("local"), m.end("local")), *dots[:n]]]
+                at = end
+                break
+    for m in QUAD.finditer(text):
+        edits += [(*d.span(), ".") for d in DOT.finditer(text, m.start(), m.end())]
+        words = list(SPELLED.finditer(text, m.start(), m.end()))
+        for w, after in zip(words, [*words[1:], None]):
+            end = after.start() if after and re.fullmatch(r"[\x20\t-]{1,2}", text[w.end() : after.start()]) else w.end()
+            edits.append((w.start(), end, NUMERALS[w[0].casefold()]))
     return edits
 
 
 def disguised_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans that only the rewritten text shows, as source spans."""
     folded = text.translate(FOLD) if not text.isascii() and GLYPHS.search(text) else text  # one character for one
-    edits = _numerals(folded)
+    numerals, mixtures = _numerals(folded)
+    edits = list(numerals)
     if HINT.search(folded):
         edits += [(*m.span(), "@") for m in BOXED_AT.finditer(folded)] + [(*m.span(), ".") for m in BOXED_DOT.finditer(folded)]
-        for m in BARE.finditer(folded):
-            edits.append((*m.span("at"), "@"))
-            edits += [(*d.span(), ".") for d in BARE_DOT.finditer(folded, m.end("at"), m.end())]
+        edits += _signs(folded)
     if not edits and folded is text:
         return {k: [] for k in KINDS}
-    edits.sort()
+    edits = sorted(set(edits))
     apart, at = [], 0
     for edit in edits:
         if edit[0] >= at:
@@ -152,8 +197,8 @@ def disguised_spans(text: str) -> dict[str, list[tuple[int, int]]]:
             at = edit[1]
     plain, starts, ends = rewrite(folded, apart) if apart else (folded, range(len(text)), range(1, len(text) + 1))
     out = {k: [(starts[a], ends[b - 1]) for a, b in spans] for k, spans in base_spans(plain).items()}
-    # A number of spelled digits without a plus sign is a phone number when it has the length of one.
-    for a, b in ((e[0], e[1]) for e in _joined(_numerals(folded))):
+    # A number of spelled digits, or of enough of them, without a plus sign is a phone number when it has the length of one.
+    for a, b in [*mixtures, *_joined(numerals)]:
         if not any(s < b and a < e for k in KINDS for s, e in out[k]):
             out["phone"].append((a, b))
     return out

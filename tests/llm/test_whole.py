@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from daybill.llm import language, neardup
+import pytest
+
+from daybill.llm import language, neardup, private
 from daybill.session import ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,3 +77,26 @@ def test_texts_of_unlearnt_scripts_and_languages_go(spark):
     assert {r.doc_id for r in language.keep_known(frame(spark, rows + other)).collect()} == {r[0] for r in rows}
     model = language.Model({"aa": "ka lo"})
     assert model.phrases(["ж ж ж"])[0][0, 0] == 6  # five symbols and the last phrase: no separator is free
+
+
+# --- personal data
+
+
+@pytest.mark.parametrize(("part", "kind"), [
+    ("john@example dot com", "email"), ("john [at] example dot com", "email"), ("john at example [dot] com", "email"), ("john at example dot ca", "email"),
+    ("john dot smith at example dot com", "email"), ("john (dot) smith [at] mail dot example dot org", "email"), ("john at example dot com dot au", "email"),
+    ("192 dot 168 dot 1 dot 1", "ip"), ("one nine two dot one six eight dot one dot 1", "ip"),
+    ("+1 five five five 1234567", "phone"), ("five five five 123 4567", "phone"),
+])
+def test_mixed_disguises_are_found_whole(part, kind):
+    text = f"write: {part}, please"
+    base, added = private.all_spans(text)
+    start, end = text.index(part), text.index(part) + len(part)
+    if part == "five five five 123 4567":
+        assert private.masked(text, base + added) == "write: <phone>, please"
+    assert base == [] and added == [(kind, start, end)]
+
+
+@pytest.mark.parametrize("text", ["in 2019, 2020 one came", "we met at noon.Then we left", "look at example dot", "one 12 345 6", "chapter one 2019 2020 2021"])
+def test_plain_numbers_and_words_have_no_disguise(text):
+    assert private.all_spans(text) == ([], [])
