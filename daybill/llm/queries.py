@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import anchors, exact, hamming, language, neardup, packing, pieces, private, suffixes, toxicity
+from . import anchors, bytepairs, exact, hamming, language, neardup, packing, periods, pieces, prefixes, private, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +86,20 @@ def _toxicity(read):
 def _hamming(read):
     vectors = read("embeddings")
     return hamming.top_k(vectors, vectors.filter(f"vec_id % {hamming.EVERY} = 0"))
+
+
+@_query("op11_prefix_trie")
+def _trie(read):
+    return prefixes.prefix_trie(read("conversations"))
+
+
+@_query("op12_periodic_runs")
+def _periods(read):
+    return periods.detected(read("documents"))
+
+
+@_query("op13_byte_bpe")
+def _bytes(read):
+    import public_tokenizers
+
+    return bytepairs.encoded(read("documents"), public_model("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
