@@ -15,6 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions import urls
 from ..operators.keep import keep_last
+from ..session import ship
 
 REFRESH_TRIGGER = {"processingTime": "60 minutes"}
 
@@ -58,6 +59,7 @@ class StreakProcessor(StatefulProcessor):
 
 def failure_streaks(runs: DataFrame) -> DataFrame:
     """Streak after every run; ``runs``: ``source, ts, event_id, ok``."""
+    ship(runs.sparkSession)
     return runs.groupBy("source").transformWithStateInPandas(
         statefulProcessor=StreakProcessor(), outputStructType=STREAK_SCHEMA, outputMode="Append", timeMode="None"
     )
@@ -76,25 +78,42 @@ def upsert(current: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     return current.join(changed.select(key), key, "left_anti").unionByName(changed, allowMissingColumns=True)
 
 
-def upsert_writer(root: str, key: str, fields: list[str], order: list[str]):
+def stream_of(spark, checkpoint: str) -> str:
+    """The identity of the stream that owns a checkpoint folder; a new folder makes a new stream."""
+    return spark.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+
+
+def upsert_writer(root: str, key: str, fields: list[str], order: list[str], checkpoint: str | None = None, part: str | None = None, gates=None):
     """A ``foreachBatch`` function that publishes a new catalog version only when content changed.
 
-    The version is the batch id. A batch that is replayed after its version was published does nothing; one replayed
-    after a crash before that writes its version anew. A failed read of the catalog fails the batch: only the absence of
-    any published version counts as an empty catalog.
+    A batch is known by the stream that owns ``checkpoint`` and its number; one that is replayed after it was published
+    does nothing, one replayed after a crash before that writes its version anew. Versions are numbered apart from
+    batches, so a stream with a new checkpoint goes on where the catalog stands. A failed read of the catalog fails the
+    batch: only the absence of any published version counts as an empty catalog. With ``part`` the catalog is kept by
+    that column and a batch rewrites the parts that it touches; ``gates`` is as in ``partitioned.upsert_parts``.
     """
-    from ..sources.sinks import publish_table, published_version, read_published
+    from ..sources import partitioned
+    from ..sources.sinks import next_version, publish_table, published_batches, published_version, read_published
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, version = batch.sparkSession, f"{batch_id:010d}"
-        newest = published_version(spark, root)
-        if newest is not None and newest >= version:
+        spark = batch.sparkSession
+        stamp = (stream_of(spark, checkpoint) if checkpoint else "", batch_id)
+        if stamp in published_batches(spark, root, batch_id):
             return
+        newest = published_version(spark, root)
         latest = keep_last(batch, [key], order)
-        current = latest.limit(0).withColumn("content_hash", F.lit("")) if newest is None else read_published(spark, root)
+        if newest is None:
+            current = latest.limit(0).withColumn("content_hash", F.lit(""))
+        else:
+            current = partitioned.read_parts(spark, root) if part else read_published(spark, root)
         changed = changed_rows(latest, current, key, fields)
-        if not changed.isEmpty():
-            publish_table(upsert(current, changed, key), root, version)
+        if changed.isEmpty():
+            return
+        version = next_version(newest, batch_id)
+        if part:
+            partitioned.upsert_parts(changed, root, key, part, version, gates=gates, stamp=stamp)
+        else:
+            publish_table(upsert(current, changed, key), root, version, stamp=stamp, gates=gates)
 
     return write
 
