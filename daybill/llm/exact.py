@@ -71,10 +71,12 @@ def drop_exact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
     Rows are told apart by id and text; of repeated rows with one id and text one stays.
     """
-    kept = exact_groups(docs, text, key).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_sha2", F.sha2(normalised(text).cast("binary"), 256))
-    joined = keyed.join(kept, (F.col("_sha2") == F.col("_sha")) & F.col(key).eqNullSafe(F.col("_id")), "left_semi")
-    return joined.dropDuplicates([key, "_sha2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = exact_groups(docs, text, key).filter("kept").select("doc_id", "text_sha256")
+    # The row travels as one struct, so its columns can't clash with the two that decide.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    keyed = docs.select(F.col(key).alias("doc_id"), F.sha2(normalised(text).cast("binary"), 256).alias("text_sha256"), whole)
+    same = (keyed["text_sha256"] == kept["text_sha256"]) & keyed["doc_id"].eqNullSafe(kept["doc_id"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select("whole.*")
 
 
 ORACLE = r"""

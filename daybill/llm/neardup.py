@@ -207,5 +207,6 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", need: int
 def drop_near(docs: DataFrame, text: str = "text", key: str = "doc_id", need: int = NEED) -> DataFrame:
     """The rows, with their columns, that stand for their class: the one of least id; repeated rows with that id all stay."""
     gone = classes(docs, text, key, need).filter("not kept").select("rid").distinct()
-    rows = docs.withColumn("_rid", F.xxhash64(F.col(key), F.col(text)))
-    return rows.join(gone.withColumnRenamed("rid", "_rid"), "_rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("rid"), whole)
+    return rows.join(gone, "rid", "left_anti").select("whole.*")

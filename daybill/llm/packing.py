@@ -18,6 +18,7 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .exact import normalised
 
@@ -64,19 +65,21 @@ class Bins:
 
 def pack_shard(rows: pd.DataFrame, capacity: int, lanes: int = LANES) -> pd.DataFrame:
     """``bin, piece, offset, length`` for every piece of the shard's rows, longest remainder first, then by id."""
-    rows = rows.sort_values(["rest", "doc_id", "own"], ascending=[False, True, True], kind="stable")
+    rows = rows.sort_values(["rest", "absent", "doc_id", "own"], ascending=[False, True, True, True], kind="stable")
     bins, codes, out, filled = Bins(capacity), {}, [], defaultdict(int)
     clusters = pd.factorize(rows["cluster"])[0].tolist()
     for row, cluster in zip(rows.itertuples(index=False), clusters):
         bit = 0 if row.source is None or row.source != row.source else 1 << codes.setdefault((row.source, row.own % lanes), len(codes))
         for piece in range(row.n_words // capacity):
             number = bins.place(capacity, bit, cluster)
-            out.append((row.doc_id, number, piece, 0, capacity))
+            out.append((None if row.absent else row.doc_id, number, piece, 0, capacity))
         if row.rest or not row.n_words:
             number = bins.place(row.rest, bit, cluster)
-            out.append((row.doc_id, number, row.n_words // capacity, filled[number], row.rest))
+            out.append((None if row.absent else row.doc_id, number, row.n_words // capacity, filled[number], row.rest))
             filled[number] += row.rest
-    return pd.DataFrame(out, columns=["doc_id", "number", "piece", "offset", "length"])
+    names = ["doc_id", "number", "piece", "offset", "length"]
+    # Ids stay Python objects: a column of integers with a null among them would become floating point.
+    return pd.DataFrame({name: pd.Series([r[i] for r in out], dtype=object if i == 0 else "int64") for i, name in enumerate(names)})
 
 
 def packed(
@@ -93,8 +96,9 @@ def packed(
         raise ValueError("capacity, shard_rows and lanes must be positive")
     words = F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")))
     shards = max(1, math.ceil(docs.count() / shard_rows))
+    whole = docs.schema[key].dataType
     rows = docs.select(
-        F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"),
+        F.col(key).isNull().alias("absent"), (F.coalesce(F.col(key), F.lit(0).cast(whole)) if isinstance(whole, IntegralType) else F.col(key)).alias("doc_id"), F.col(source).cast("string").alias("source"),
         (F.col(cluster).cast("string") if cluster else F.md5(normalised(text).cast("binary"))).alias("cluster"),
         F.xxhash64(F.col(key), F.col(text)).alias("own"), words.cast("long").alias("n_words"),
     ).select("*", (F.col("n_words") % capacity).alias("rest"), F.pmod(F.col("own"), F.lit(shards)).alias("shard"))

@@ -227,7 +227,7 @@ def test_personal_data_rows(spark):
 # --- near duplicates
 
 
-def _classes(rows):
+def _classes(rows, need=85):
     sets = {}
     for d, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
@@ -243,7 +243,7 @@ def _classes(rows):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= need * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {(d, len(sets[d]), find(d), find(d) == d) for d in ids}
@@ -479,7 +479,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert ids == set(first.values())
             left = [(d, text[d]) for d in sorted(ids)]
         if name == "near_dedup":
-            assert ids == {d for d, _, _, kept in _classes(left) if kept}
+            assert ids == {d for d, _, _, kept in _classes(left, cp.NEAR) if kept}
         if name == "pii":
             for r in docs.collect():
                 base, added = private.all_spans(text[r.doc_id])
