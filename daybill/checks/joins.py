@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..functions.defaults import key_of
-from ..operators import catalog, duplicates, enrichment, resolve, series, supplements
+from ..operators import catalog, curation, duplicates, enrichment, resolve, series, supplements
 from ..operators.containment import containing
 from ..operators.keep import keep_last, top_n
 from ..operators.rank import ranked
@@ -157,6 +157,29 @@ def j9(t):
     return supplements.match_supplements(live, supplement_rows(t), ["ord", "id"])
 
 
+@check(
+    "j9_supplements_applied",
+    """WITH {lv}, f AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY ord, id) AS r FROM lv),
+     c AS (SELECT 'sup-' || part AS sid, part, part % 4 AS m, part % 8 = 2 AS repl, title, source, day, ord, CASE WHEN part % 4 = 2 THEN url ELSE 'https://new.example.org/' || part END AS url,
+       CASE part % 4 WHEN 0 THEN array_to_string(list_reverse(string_split(title, ' ')), ' ') WHEN 1 THEN title ELSE 'Curated ' || part END AS stitle FROM f WHERE r = 1),
+     s AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY trim(regexp_replace(lower(stitle), '[^a-z0-9]+', ' ', 'g')), day ORDER BY ord, sid) = 1),
+     hit AS (SELECT s.sid, l.id AS event_id, l.image, row_number() OVER (PARTITION BY s.sid ORDER BY l.ord, l.id) AS r FROM s JOIN lv l ON
+       CASE m WHEN 0 THEN l.day = s.day AND l.source = s.source AND l.title = s.title WHEN 1 THEN l.day = s.day AND l.title = s.title
+        WHEN 2 THEN (l.day = s.day OR repl) AND l.url = s.url ELSE false END),
+     a AS (SELECT s.*, h.event_id, h.image AS had FROM s LEFT JOIN hit h ON h.sid = s.sid AND h.r = 1),
+     g AS (SELECT event_id, max(CASE WHEN m <> 0 AND repl THEN stitle END) AS new_title, bool_or(m <> 0 AND NOT repl AND had = '') AS pictured,
+       array_to_string(list_sort(list(sid)), ',') AS legacy FROM a WHERE event_id IS NOT NULL GROUP BY 1)
+     SELECT id, coalesce(new_title, title) AS title, date_value, url, CASE WHEN new_title IS NOT NULL OR coalesce(pictured, false) THEN 'https://img.example.org/curated.jpg' ELSE image END AS image,
+      CASE WHEN new_title IS NOT NULL THEN 'verified-supplement' ELSE '' END AS refresh_status, coalesce(legacy, '') AS legacy FROM lv LEFT JOIN g ON g.event_id = lv.id
+     UNION ALL SELECT sid, stitle, day, url, 'https://img.example.org/curated.jpg', 'verified-supplement', '' FROM a WHERE event_id IS NULL""",
+)
+def j9_applied(t):
+    """The whole catalog after its curated rows, at a time when nothing is over."""
+    live = listings(t, "title", "source", "date_value", "end_date_value", "url", "image").withColumn("image_status", F.lit("official"))
+    out = curation.apply_supplements(live, supplement_rows(t), ["ord", "id"], "1990-01-01T00:00:00")
+    return out.select("id", "title", "date_value", "url", "image", "refresh_status", F.array_join("legacy_ids", ",").alias("legacy"))
+
+
 @check(
     "j10_image_overrides",
     f"""WITH {{lv}}, e AS (SELECT id, {_KEY} AS k, source, day FROM lv), o AS (SELECT DISTINCT {_KEY} AS k, source, CASE WHEN part % 2 = 0 THEN day ELSE '' END AS day, 'https://img.example.org/o' || part || '-' || supp || '.jpg' AS image,
