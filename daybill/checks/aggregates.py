@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import audience, classify, commerce, dates, notices, scoring, summary, text, translation_qa, urls
-from ..operators import catalog, collections, diversify, duplicates, enrichment, gates, resolve, series
+from ..operators import catalog, collections, diversify, duplicates, enrichment, gates, identity, resolve, series
 from ..operators.keep import top_n
 from ..plans import feed, weekend
 from ..plans.listings import COSTS, _pick, listings
@@ -44,6 +44,48 @@ def a1_sessions(t):
     return series.sessions(rows, cards, "series", ["date_value", "ord", "id"]).select("id", "card_id", "session_no")
 
 
+_FORMATS = ["live-show", "sports-game", "program", "program"]
+_STABLE = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@check(
+    "a1_series_identity",
+    f"""WITH {{lv}}, k AS (SELECT *, {_ACTIVE} AS active, ({_FORMATS})[line % 4 + 1] AS format FROM lv),
+     n AS (SELECT *, CASE format WHEN 'sports-game' THEN concat_ws(chr(31), format, source, title, place, date_value) WHEN 'live-show' THEN concat_ws(chr(31), format, {_STABLE('source')}, {_STABLE('title')}, {_STABLE('place')}, {_STABLE('city')})
+       ELSE concat_ws(chr(31), format, source, title, description, place, address, '', city, '[]', '') END AS key,
+      'series-' || left(sha256(concat_ws(chr(31), source, title, description, place, address, '', city, 'community', '[]', '', '', '', cost_status)), 16) AS legacy FROM k),
+     g AS (SELECT key, count(*) AS total, arg_min(id, (date_value, ord, id)) FILTER (WHERE active) AS first_id FROM n GROUP BY key HAVING bool_or(active)),
+     c AS (SELECT *, CASE WHEN total = 1 THEN first_id ELSE 'series-' || left(sha256(key), 16) END AS card_id FROM g),
+     m AS (SELECT n.*, c.card_id, c.total FROM n LEFT JOIN c USING (key)),
+     i AS (SELECT part, min(card_id) AS id FROM m GROUP BY part HAVING min(card_id) IS NOT NULL)
+     SELECT alias, i.id FROM (SELECT id AS alias, part FROM m UNION SELECT 'old-' || part, part FROM m UNION SELECT legacy, part FROM m WHERE total > 1 UNION SELECT card_id, part FROM m WHERE card_id IS NOT NULL) JOIN i USING (part)""",
+)
+def a1_identity(t):
+    """Every name of the series of a part: rows, cards, ids of older catalogs, and an old id that its series share."""
+    rows = with_activity(t, "title", "source", "description", "place", "address", "city", "part", "line", "cost_status").withColumns({
+        "format": _pick(_FORMATS, F.col("line")), "type": F.lit("community"), "meeting_point": F.lit(""), "age_ranges_json": F.lit("[]"), "age_label": F.lit(""),
+        "legacy_ids": F.array(F.concat(F.lit("old-"), F.col("part").cast("string"))),
+    })
+    keyed = rows.withColumn("key", series.series_key())
+    cards = series.cards(keyed, "key", ["date_value", "ord", "id"], [])
+    legacy = series.legacy_series_id(["source", "title", "description", "place", "address", "meeting_point", "city", "type", "age_ranges_json", "age_label", F.lit(""), F.lit(""), "cost_status"])
+    current = cards.select(F.col("card_id").alias("id"))
+    return identity.identities(current, identity.links(keyed, "id", "legacy_ids"), identity.series_links(keyed, cards, "key", legacy))
+
+
+@check(
+    "e11_fields_move_together",
+    """WITH {lv}, r AS (SELECT *, arg_min(id, (ord, id)) OVER (PARTITION BY series) AS keeper FROM lv), s AS (SELECT keeper, (id <> keeper, ord, id) AS slot, cost_status, id FROM r)
+     SELECT keeper AS id, coalesce(arg_min(cost_status, slot) FILTER (WHERE cost_status <> 'unknown'), arg_min(cost_status, slot)) AS cost_status,
+     'label of ' || coalesce(arg_min(id, slot) FILTER (WHERE cost_status <> 'unknown'), arg_min(id, slot)) AS cost_label FROM s GROUP BY keeper""",
+)
+def e11_together(t):
+    rows = listings(t, "series", "cost_status").withColumn("cost_label", F.concat(F.lit("label of "), F.col("id")))
+    first = rows.groupBy("series").agg(F.min(F.struct("ord", "id")).alias("k"))
+    merged = rows.join(first, "series").select("id", F.col("k.id").alias("keeper"))
+    return duplicates.fill_from_duplicates(rows, merged, ["ord", "id"], ["cost_status"], {"cost_status": ["unknown"]}, {"cost_status": ["cost_label"]}).drop("records")
+
+
 @check("a2_cautious_rating", "SELECT l_suppkey AS supplier, (['PG13', 'PG', 'G', 'NR'])[min(l_linenumber % 4) + 1] AS movie_rating FROM lineitem GROUP BY 1")
 def a2(t):
     rating = _pick(["pg-13", "PG", "<b>g</b>", "nr"], F.col("l_linenumber"))
@@ -308,11 +350,15 @@ def e11(t):
     return duplicates.fill_from_duplicates(rows, merged, ["ord", "id"], ["image", "cost_status"], {"cost_status": ["unknown"]})
 
 
-def scored_rows(t):
-    rows = listings(t, "title", "description", "source", "place", "address", "date_value", "url", "image", "verified_at")
+def scored_input(t, *more):
+    rows = listings(t, "title", "description", "source", "place", "address", "date_value", "url", "image", "verified_at", *more)
     facts = rows.withColumn("format", classify.format_of("title")).withColumn("seasonal_theme", classify.season_of("title"))
     facts = facts.withColumn("type", classify.listing_type("format", "title", "title")).withColumn("age", audience.age_info("description"))
-    return feed.scored(facts.withColumn("cost_source", F.lit("")).withColumn("cost_label", F.lit("")), TODAY)
+    return facts.withColumn("cost_source", F.lit("")).withColumn("cost_label", F.lit(""))
+
+
+def scored_rows(t):
+    return feed.scored(scored_input(t), TODAY)
 
 
 @check("g2_first_results")
@@ -320,6 +366,11 @@ def g2(t):
     return feed.first_results(scored_rows(t))
 
 
+@check("g2_whole_order")
+def g2_whole(t):
+    return feed.whole_order(scored_rows(t)).select("id", "position")
+
+
 @check("g3_edition_picks")
 def g3(t):
     return weekend.edition(weekend_rows(t), FRIDAY)

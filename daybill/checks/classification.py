@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import audience, classify, commerce, dates, scoring, summary, text, urls
 from ..functions.defaults import first_nonempty
 from ..operators import enrichment, links, series
-from ..plans import weekend
+from ..plans import feed, weekend
 from ..plans.listings import _pick, listings
-from .aggregates import scored_rows
+from .aggregates import scored_input, scored_rows
 from .functions import _HOST, _KEY, _PATH, plain_sql, tokens_sql
 from .predicates import CANDIDATE_WHERE, format_case, listing_type_case, type_case, weekend_rows
 from .registry import FRIDAY, NOW, TODAY, check, first_nonempty_sql, options, q, rx
@@ -174,6 +174,28 @@ def k4(t):
     return scored_rows(t).select("id", "series")
 
 
+_PICKED = f"(line % 3 = 0 AND line % 2 = 0 AND day >= '{TODAY}')"
+
+
+def editorial_rows(t):
+    """Rows of which some are picked by an editor, with and without a reason, until their day; some name their series."""
+    rows = scored_input(t, "day", "line")
+    return rows.withColumns({
+        "editor_pick": F.col("line") % 3 == 0, "editor_pick_until": F.col("day"), "editor_pick_reason": F.when(F.col("line") % 2 == 0, F.lit("Rare.")).otherwise(F.lit(" ")),
+        "series_id": F.when(F.col("line") == 1, F.lit("")), "recurring_id": F.when(F.col("line") == 2, F.lit("Weekly-Fair No.2")).otherwise(F.lit("")),
+    })
+
+
+@check(
+    "k3_editor_picks",
+    _SCORE_BASE + f""" SELECT id, CAST({_SCORE} + CASE WHEN {_PICKED} THEN {scoring.EDITOR_POINTS} ELSE 0 END AS BIGINT) AS score,
+     CASE WHEN {_PICKED} THEN 'top-pick' WHEN {_SPOT} THEN 'weekend-spotlight' WHEN special THEN 'special-event' ELSE '' END AS badge,
+     CASE WHEN line = 2 THEN 'id:weekly fair no 2' WHEN frequency = 'weekly' THEN 'fallback:' || {_KEY} || '::' || trim(regexp_replace(lower(place), '[^a-z0-9]+', ' ', 'g')) ELSE '' END AS series FROM d""",
+)
+def k3_editor(t):
+    return feed.scored(editorial_rows(t), TODAY).select("id", F.col("score").cast("long").alias("score"), "badge", "series")
+
+
 _TOPIC = (
     f"CASE WHEN {rx('lower(title)', classify.TOPIC_HALLOWEEN, False)} OR {rx('lower(title)', classify.HALLOWEEN, False)} THEN 'halloween' WHEN type = 'sports' THEN 'sports' "
     f"WHEN {rx('lower(title)', classify.TOPIC_SHOWS, False)} OR type = 'shows' THEN 'shows' WHEN {rx('lower(title)', classify.TOPIC_LEARNING, False)} OR type = 'learning' THEN 'learning' "

@@ -55,6 +55,26 @@ def test_diversify_equals_the_loop_with_and_without_pruning(spark):
             assert got == expected
 
 
+def test_whole_order_is_the_head_and_the_rest_in_base_order(spark):
+    from daybill.plans import feed
+
+    rng = random.Random(6)
+    for size in (3, 12, 90):
+        rows = [
+            {
+                "id": f"e{i:03d}", "ord": i, "score": rng.randint(0, 25), "date_value": rng.choice(["", "1997-06-14", "1997-06-20T10:00"]), "title": rng.choice("ABC"),
+                "tier": rng.choice(["outing", "everyday", "everyday", "background"]), "learning": rng.random() < 0.3, "ready": rng.random() < 0.8,
+                "venue": rng.choice("abcde"), "organizer": rng.choice("xyz"), "category": rng.choice("pq"), "experience": rng.choice("mn"), "series": rng.choice(["", "", "s1"]),
+            }
+            for i in range(size)
+        ]
+        base = sorted(rows, key=lambda r: (-r["score"], r["date_value"] or "9999", r["title"], r["ord"]))
+        head = _loop_diversify([r | {"ord": place} for place, r in enumerate(base)])
+        expected = head + [r["id"] for r in base if r["id"] not in head]
+        got = feed.whole_order(spark.createDataFrame(rows)).orderBy("position").collect()
+        assert [r.id for r in got] == expected and [r.position for r in got] == list(range(1, size + 1))
+
+
 def test_picks_respect_both_passes(spark):
     rng = random.Random(9)
     rows = [{"id": f"e{i:03d}", "source": f"s{rng.randint(0, 12)}", "city": rng.choice(["a", "a", "b"]), "topic": rng.choice(["sports", "halloween", "community"]), "score": rng.randint(0, 9)} for i in range(80)]
