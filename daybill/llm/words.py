@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 1_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,14 +61,16 @@ def split_words(texts: pa.Array) -> Words:
     starts[1:] &= ~inner[:-1]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
     starts[heads] = inner[heads]  # a text's first byte begins a word whatever stands before it
-    counted = np.zeros(len(raw) + 1, np.int64)
+    narrow = np.int32 if len(raw) < 2**31 else np.int64  # one running count at a time, as narrow as it can be
+    counted = np.zeros(len(raw) + 1, narrow)
     np.cumsum(starts, out=counted[1:])
-    first = counted[offsets]
+    first = counted[offsets].astype(np.int64)
     begins = np.flatnonzero(starts)
-    solid = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(inner, out=solid[1:])
-    bounds = np.append(solid[begins], solid[-1])
+    np.cumsum(inner, out=counted[1:])
+    bounds = np.append(counted[begins], counted[-1]).astype(np.int64)
+    del counted, starts
     data = raw[inner]
+    del inner
     flat = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(bounds), pa.py_buffer(data))
     coded = flat.dictionary_encode()
     return Words(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, first)
