@@ -220,10 +220,11 @@ _JOINED = f"trim(regexp_replace(array_to_string({_PARAS}, ' '), 'https?://\\S+',
 
 @check(
     "x17_official_paragraphs",
-    f"SELECT page_id, CASE WHEN length({_JOINED}) > 4000 THEN rtrim(left({_JOINED}, 3999)) || '…' ELSE {_JOINED} END AS description FROM pages",
+    f"SELECT page_id, {_JOINED} AS description, CASE WHEN length({_JOINED}) > 4000 THEN rtrim(left({_JOINED}, 3999)) || '…' ELSE {_JOINED} END AS shown FROM pages",
 )
 def x17(t):
-    return t.pages.select("page_id", text.official_paragraph_text("html").alias("description"))
+    whole = t.pages.select("page_id", text.official_paragraph_text("html").alias("description"))
+    return whole.withColumn("shown", text.shortened("description"))
 
 
 @check(
@@ -321,6 +322,22 @@ def t9(t):
     return rows.select("id", F.explode(dates.listing_day_span(label)).alias("day"))
 
 
+@check(
+    "t9_ranges_of_any_length",
+    f"""WITH {{lv}}, c AS (SELECT id, line, CAST({_later('day')} AS DATE) AS last FROM lv), d AS (SELECT id, last, CAST(least(line * 4, day(last) - 1) AS INTEGER) AS back FROM c)
+     SELECT id, strftime(last - to_days(back), '%Y-%m-%d') AS first, strftime(last, '%Y-%m-%d') AS last, CASE WHEN back > 14 THEN 'range' ELSE 'days' END AS status,
+      CAST(CASE WHEN back > 14 THEN 0 ELSE back + 1 END AS BIGINT) AS days FROM d""",
+)
+def t9_ranges(t):
+    """Ranges of up to four weeks; a long one stays one row with its bounds."""
+    rows = listings(t, "day", "line").withColumn("day", this_century("day"))
+    last = F.to_date("day")
+    first = F.dayofmonth(last) - F.least(F.col("line") * 4, F.dayofmonth(last) - 1)
+    label = F.concat(F.date_format(last, "MMM. "), first.cast("string"), F.lit(" - "), F.date_format(last, "d, yyyy"))
+    span = rows.select("id", dates.listing_day_range(label).alias("r"))
+    return span.select("id", "r.first", "r.last", "r.status", F.size("r.days").cast("long").alias("days"))
+
+
 @check("t10_days_between", "WITH {lv} SELECT id, date_diff('day', DATE '1997-06-13', CAST(day AS DATE)) AS days, strftime(last_day(CAST(day AS DATE)), '%Y-%m-%d') AS month_end FROM lv")
 def t10(t):
     rows = listings(t, "day")

@@ -327,7 +327,7 @@ _BIO = "(['Subscribe to our newsletter.', 'The pianist studied in Vienna.', 'Par
 
 @check(
     "p25_non_activity_summary",
-    f"WITH s AS (SELECT doc_id, lower({_BIO} || ' ' || left(text, 40)) AS v FROM documents) SELECT doc_id, "
+    f"WITH s AS (SELECT doc_id, lower({_BIO} || ' ' || coalesce(text, '')) AS v FROM documents) SELECT doc_id, "
     + " OR ".join(rx("v", p, False) for p in notices.NOT_AN_ACTIVITY) + " AS non_activity FROM s",
 )
 def p25(t):
@@ -335,7 +335,7 @@ def p25(t):
         F.array(*[F.lit(x) for x in ("Subscribe to our newsletter.", "The pianist studied in Vienna.", "Parking is behind the hall.", "Paint a kite with us.")]),
         (F.col("doc_id") % 4 + 1).cast("int"),
     )
-    return t.documents.select("doc_id", notices.is_non_activity(F.concat(lead, F.lit(" "), F.left("text", F.lit(40)))).alias("non_activity"))
+    return t.documents.select("doc_id", notices.is_non_activity(F.concat(lead, F.lit(" "), F.coalesce("text", F.lit("")))).alias("non_activity"))
 
 
 @check(

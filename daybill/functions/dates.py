@@ -248,7 +248,16 @@ def day_span(first: Column, last: Column, limit: int = 14) -> Column:
 
 
 def listing_day_span(date_text: str | Column) -> Column:
-    """Days of ``Nov 14 - 16, 2026`` as ISO strings."""
+    """Days of ``Nov 14 - 16, 2026`` as ISO strings; see :func:`listing_day_range` for ranges of any length."""
+    return listing_day_range(date_text)["days"]
+
+
+def listing_day_range(date_text: str | Column, limit: int = 14) -> Column:
+    """``struct(first, last, days, status)`` of ``Nov 14 - 16, 2026``.
+
+    ``status``: ``days`` when every day is listed, ``range`` when there are more than ``limit`` days after the first and only
+    the bounds are given, ``none`` for a text without a range.
+    """
     value = F.regexp_replace(F.replace(text(date_text), F.lit("."), F.lit("")), r"\s+", " ")
     pattern = (
         r"\b(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?"
@@ -258,9 +267,15 @@ def listing_day_span(date_text: str | Column) -> Column:
     month = month_number(month)
     low = first.try_cast("int")
     high = F.when(F.length(last) > 0, last.try_cast("int")).otherwise(low)
-    usable = month.isNotNull() & (high >= low) & (high - low <= 14)
-    days = F.transform(F.sequence(low, high), lambda d: F.concat_ws("-", year, _pad(month), _pad(d)))
-    return F.when(usable, days).otherwise(F.array().cast("array<string>"))
+    usable = F.coalesce(month.isNotNull() & (high >= low), F.lit(False))
+    iso = lambda d: F.concat_ws("-", year, _pad(month), _pad(d))
+    none = F.array().cast("array<string>")
+    short = usable & (high - low <= limit)
+    return F.struct(
+        F.when(usable, iso(low)).otherwise(F.lit("")).alias("first"), F.when(usable, iso(high)).otherwise(F.lit("")).alias("last"),
+        F.when(short, F.transform(F.sequence(low, high), iso)).otherwise(none).alias("days"),
+        F.when(short, F.lit("days")).when(usable, F.lit("range")).otherwise(F.lit("none")).alias("status"),
+    )
 
 
 def season_year(month_name: Column, first_year: Column, second_year: Column) -> Column:

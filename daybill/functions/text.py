@@ -77,10 +77,15 @@ def plain_text(value: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"\s+([,.;:!?])", "$1"))
 
 
-def source_description(html: str | Column, max_length: int = 4000) -> Column:
-    """Plain text without URLs, cut with an ellipsis at ``max_length``."""
-    out = F.trim(F.regexp_replace(plain_text(html), r"https?://\S+", ""))
-    return F.when(F.length(out) > max_length, F.concat(F.rtrim(F.left(out, F.lit(max_length - 1))), F.lit("…"))).otherwise(out)
+def source_description(html: str | Column) -> Column:
+    """Whole plain text without URLs: listings are judged by all of it, see :func:`shortened` for display."""
+    return F.trim(F.regexp_replace(plain_text(html), r"https?://\S+", ""))
+
+
+def shortened(value: str | Column, max_length: int = 4000) -> Column:
+    """A text for display, cut with an ellipsis at ``max_length``."""
+    value = text(value)
+    return F.when(F.length(value) > max_length, F.concat(F.rtrim(F.left(value, F.lit(max_length - 1))), F.lit("…"))).otherwise(value)
 
 
 def _fold_table() -> tuple[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .defaults import c, first_nonempty, text
+from .defaults import let, c, first_nonempty, text
 from .regex import has
 
 # Tracking parameters, API-looking paths and parameters that identify an event.
@@ -32,6 +32,44 @@ def path(url: str | Column) -> Column:
     return F.when((F.length(_part(url, 2)) > 0) & (F.length(p) == 0), F.lit("/")).otherwise(p)
 
 
+def resolved(link: str | Column, base: str | Column) -> Column:
+    """The http(s) address of a link on a page; empty for other schemes and for links without a base."""
+    base = F.trim(text(base))
+    parts = F.struct(
+        F.trim(text(link)).alias("link"), base.alias("base"), F.regexp_extract(base, r"(?i)^(https?://[^/?#]+)", 1).alias("origin"),
+        F.regexp_replace(F.regexp_extract(base, "(?i)" + _URL, 3), r"[^/]*$", "").alias("folder"),
+    )
+
+    def join(v: Column) -> Column:
+        link, origin = v["link"], v["origin"]
+        return (
+            F.when(link == "", F.lit("")).when(F.regexp_like(link, F.lit(r"(?i)^https?://[^/?#]")), link)
+            .when(F.regexp_like(link, F.lit(r"(?i)^[a-z][a-z0-9+.-]*:")) | (origin == ""), F.lit(""))
+            .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(origin, r"(?i)^(https?:)", 1), link))
+            .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
+            .when(F.regexp_like(link, F.lit("^[?#]")), F.concat(F.regexp_replace(v["base"], r"[?#].*$", ""), link))
+            .otherwise(F.concat(origin, F.when(v["folder"] == "", F.lit("/")).otherwise(v["folder"]), link))
+        )
+
+    def walk(steps: Column) -> Column:
+        """Path steps without ``.`` and ``..``."""
+        up = lambda out: F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))
+        return F.aggregate(steps, F.array().cast("array<string>"), lambda out, s: F.when(s == ".", out).when(s == "..", up(out)).otherwise(F.concat(out, F.array(s))))
+
+    def tidy(full: Column) -> Column:
+        path_ = F.array_join(walk(F.split(F.regexp_extract(full, "(?i)" + _URL, 3), "/")), "/")
+        whole = F.concat(F.regexp_extract(full, r"(?i)^(https?://[^/?#]+)", 1), path_, F.regexp_extract(full, r"^[^?#]*(.*)$", 1))
+        return F.when(F.contains(full, F.lit("/.")), whole).otherwise(full)
+
+    return let(let(parts, join), tidy)
+
+
+def decoded(value: str | Column) -> Column:
+    """Percent-decoded text; as it is when it can't be decoded."""
+    plain = F.replace(text(value), F.lit("+"), F.lit("%2B"))
+    return F.coalesce(F.try_url_decode(plain), text(value))
+
+
 def query_pairs(url: str | Column) -> Column:
     """``k=v`` strings of the query, in order."""
     raw = F.regexp_replace(_part(url, 4), r"^\?", "")

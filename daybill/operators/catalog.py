@@ -72,7 +72,7 @@ def source_health(sources: DataFrame, results: DataFrame, previous: DataFrame) -
         F.when(~ran, F.lit("not-run")).when(failed, F.lit("failed")).otherwise(F.lit("ok")).alias("status"),
         F.when(ran, F.when(failed, 0).otherwise(F.col("event_count"))).cast("long").alias("event_count"),
         F.when(~ran, before).when(failed, before + 1).otherwise(0).cast("long").alias("failure_streak"),
-        F.when(ran & failed, F.left(text("error"), F.lit(240))).otherwise(F.lit("")).alias("error"),
+        F.when(ran & failed, text("error")).otherwise(F.lit("")).alias("error"),
     )
 
 
