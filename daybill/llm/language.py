@@ -1,7 +1,8 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text reads a document and cuts it into phrases: each phrase is the longest
-run of the rest that occurs somewhere in that language's text. The language whose automaton needs the fewest phrases wins.
+run of the rest that occurs somewhere in that language's text. The language whose automaton needs the fewest phrases wins,
+measured by the phrases a symbol that one half of its sample needs of the other, so that samples of any size compete.
 Texts are folded to lower-case letters with one space between words and read in blocks of 256 symbols; blocks of a batch
 are read side by side, so the work per symbol is one table look-up per language. A text ends its last phrase, and so does a
 block, whatever the batch: results depend on the text and the labelled sample alone.
@@ -31,17 +32,35 @@ def held_out(key: Column | str, folds: int, fold: int) -> Column:
 
 
 def sample(docs: DataFrame, label: str, text: str, key: str, usable: Column) -> dict[str, str]:
-    """Labelled text per language: of the rows in each of ``CELLS`` hash cells the one of least hash, bounded in length."""
-    own = F.xxhash64(F.col(key).cast("string"), F.substring(F.col(text), 1, 64))
+    """Labelled text per language: of the rows in each of ``CELLS`` hash cells the one of least hash.
+
+    Of a picked text a stretch of ``EXCERPT`` characters counts that starts where the hash says, the whole of a shorter one.
+    Languages share ``TRAIN_SYMBOLS`` evenly, and so do the picked texts of a language.
+    """
+    own = F.xxhash64(F.col(key).cast("string"), F.col(text))
+    start = 1 + F.pmod(F.xxhash64(own, F.lit(1)), F.greatest(F.length(text) - EXCERPT, F.lit(0)) + 1)
     rows = docs.filter(usable & F.col(label).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(label).cast("string").alias("label"), F.pmod(own, F.lit(CELLS)).alias("cell"), own.alias("own"), F.substring(F.col(text), 1, EXCERPT).alias("excerpt")
+        F.col(label).cast("string").alias("label"), F.pmod(own, F.lit(CELLS)).alias("cell"), own.alias("own"), F.col(text).substr(start.cast("int"), F.lit(EXCERPT)).alias("excerpt")
     )
     picked = rows.groupBy("label", "cell").agg(F.min(F.struct("own", "excerpt")).alias("best"))
     found: dict[str, list[str]] = {}
     for row in picked.select("label", "cell", "best.excerpt").orderBy("label", "cell").collect():  # CELLS rows a language
         found.setdefault(row["label"], []).append(row["excerpt"])
     share = TRAIN_SYMBOLS // max(1, len(found))
-    return {name: " ".join(t for t in texts)[:share] for name, texts in found.items()}
+    return {name: " ".join(_shared(texts, share)) for name, texts in found.items()}
+
+
+def _shared(texts: list[str], total: int) -> list[str]:
+    """The texts cut to one length, such that they have ``total`` characters or are all whole."""
+    left, each = total, 0
+    for number, length in enumerate(sorted(map(len, texts))):
+        each = left // (len(texts) - number)
+        if length > each:
+            break
+        left -= length
+    else:
+        return texts
+    return [t[:each] for t in texts]
 
 
 class Folding:
@@ -111,8 +130,11 @@ def automaton(text: np.ndarray, size: int) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, samples: dict[str, str]):
+    """``rates``: phrases a symbol that every language's sample needs of its own; counts are measured by them."""
+
+    def __init__(self, samples: dict[str, str], rates: dict[str, float] | None = None):
         self.names = sorted(samples)
+        self.rates = np.array([(rates or {}).get(n, 1.0) for n in self.names])
         self.folding = Folding(samples)
         self.tables = [automaton(self.folding.symbols(samples[n]), self.folding.size).ravel() for n in self.names]
 
@@ -161,13 +183,14 @@ class Model:
         counts, sizes = self.phrases([t or "" for t in texts])
         if not self.names:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts))
-        best = counts.argmin(axis=1)
-        least = counts[np.arange(len(texts)), best].astype(float)
-        second = np.partition(counts, 1, axis=1)[:, 1].astype(float) if len(self.names) > 1 else least * 2
+        measured = counts / self.rates
+        best = measured.argmin(axis=1)
+        least = measured[np.arange(len(texts)), best]
+        second = np.partition(measured, 1, axis=1)[:, 1] if len(self.names) > 1 else least * 2
         known = sizes > 0
         score = np.where(known, 1 - least / np.maximum(second + least, 1), 0.0)
         names = [self.names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
-        return names, score, np.where(known, least / np.maximum(sizes, 1), 1.0)
+        return names, score, np.where(known, counts[np.arange(len(texts)), best] / np.maximum(sizes, 1), 1.0)
 
     def parsed(self, texts: list[str | None], bounds: dict[str, float]) -> list[bool]:
         """Whether the best language reads the text within its bound; a block's last phrase is not held against a text.
@@ -177,30 +200,38 @@ class Model:
         counts, sizes = self.phrases([t or "" for t in texts])
         if not self.names:
             return [False] * len(texts)
-        best = counts.argmin(axis=1)
+        best = (counts / self.rates).argmin(axis=1)
         excess = counts[np.arange(len(texts)), best] - -(-sizes // BLOCK)
         allowed = np.array([bounds[n] for n in self.names])[best] * sizes
         return ((sizes > 0) & (excess <= allowed + np.sqrt(allowed)) & (excess < REJECT * sizes)).tolist()
 
 
-def bounds_of(samples: dict[str, str], times: float = TIMES) -> dict[str, float]:
-    """Per language ``times`` the phrases a symbol that the second half of its sample needs of the first half."""
+def rates_of(samples: dict[str, str]) -> dict[str, float]:
+    """Per language the phrases a symbol that the second half of its sample needs of the first half.
+
+    A small sample explains little even of its own language; measured by this rate it competes with a large one.
+    """
     out = {}
     for name, text in samples.items():
         counts, sizes = Model({name: text[: len(text) // 2]}).phrases([text[len(text) // 2 :]])
-        out[name] = min(REJECT, times * float(counts[0, 0]) / float(sizes[0])) if sizes[0] else REJECT
+        out[name] = float(counts[0, 0]) / float(sizes[0]) if sizes[0] else 1.0
     return out
 
 
+def bounds_of(rates: dict[str, float], times: float = TIMES) -> dict[str, float]:
+    """Per language the phrases a symbol that a text may need."""
+    return {name: min(REJECT, times * rate) for name, rate in rates.items()}
+
+
 _MODELS: dict[str, Model] = {}
 
 
-def _model(samples: dict[str, str]) -> Model:
+def _model(samples: dict[str, str], rates: dict[str, float]) -> Model:
     """One model a worker process, kept from task to task."""
     key = repr(sorted(samples.items()))
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = Model(samples)
+        _MODELS[key] = Model(samples, rates)
     return _MODELS[key]
 
 
@@ -211,10 +242,10 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text", key:
     independent: repeated rows repeat, extra columns are ignored, an empty table gives no rows. Without any labelled text
     every row is ``und``.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind, rates = docs.schema[key].dataType.simpleString(), rates_of(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(samples)
+        model = _model(samples, rates)
         for batch in slices(batches, "text", 4_000_000):
             names, score, rate = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "rate"])
@@ -235,11 +266,12 @@ def keep_known(docs: DataFrame, text: str = "text", key: str = "doc_id", label:
     it needs of its own labelled text: other scripts and other languages.
     """
     samples = sample(docs, label, text, key, ~held_out(key, 4, 2))
-    bounds = bounds_of(samples, times)
+    rates = rates_of(samples)
+    bounds = bounds_of(rates, times)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(samples)
+        model = _model(samples, rates)
         for batch in slices(batches, text, 4_000_000):
             yield batch.filter(pa.array(model.parsed(batch.column(at).to_pylist(), bounds), pa.bool_()))
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,6 @@ from .words import signed, slices, split_words
 
 SAMPLE_ROWS = 20_000  # the bound on the labelled rows that features and weights are learnt from
 FEATURES, LEAST_TEXTS, LEAST_Z = 4096, 3, 4.5
-PAIRS = 20_000  # the bound on counterfactual pairs
 SWAP_PENALTY, SHRINK, STEPS = 20.0, 0.3, 400
 THRESHOLD = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -57,7 +57,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, text: str, key: str, label: st
     marked = marked.groupBy(F.col(key).alias("_key")).agg(F.max((F.col(label) == 1).cast("int")).alias("toxic"))
     total = marked.count()
     share = min(1.0, SAMPLE_ROWS / max(total, 1))
-    chosen = marked.filter(F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = marked.filter(F.xxhash64("_key") <= F.lit(min(int(share * 2**64) - 2**63, 2**63 - 1)))
     sampled = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_key")
     return stored(sampled.select("text", "toxic"))  # the ids are as bounded as the sample, so no text is shuffled
 
@@ -151,8 +151,8 @@ def select_features(rows: DataFrame, most: int = FEATURES) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in best], np.int64).view(np.uint64)) if best else np.zeros(0, np.uint64)
 
 
-def _examples(rows: DataFrame, hashes: np.ndarray) -> tuple[list, list]:
-    """Feature numbers of every sampled text, and of labelled sentences with their counterfactuals, as bounded lists."""
+def _examples(rows: DataFrame, hashes: np.ndarray) -> tuple[pa.Table, pa.Table]:
+    """Feature numbers of every sampled text, and of all labelled sentences with their counterfactuals, in a fixed order."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -177,8 +177,9 @@ def _examples(rows: DataFrame, hashes: np.ndarray) -> tuple[list, list]:
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
-    own = rows.mapInArrow(texts, "toxic int, own array<int>").collect()  # at most about SAMPLE_ROWS short lists
-    swapped = rows.mapInArrow(pairs, "a array<int>, b array<int>").filter("a <> b").orderBy(F.xxhash64("a", "b")).limit(PAIRS).collect()
+    # Both tables are bounded by the sample; equal pairs are one row with their number, and Arrow keeps them as flat arrays.
+    own = rows.mapInArrow(texts, "toxic int, own array<int>").orderBy("toxic", "own").toArrow()
+    swapped = rows.mapInArrow(pairs, "a array<int>, b array<int>").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n")).orderBy("a", "b").toArrow()
     return own, swapped
 
 
@@ -187,20 +188,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     rows = _labelled(docs, labels, text, key, label)
     hashes = select_features(rows)
     own, swapped = _examples(rows, hashes)
-    y = np.array([r["toxic"] for r in own], float)
+    y = own.column("toxic").to_numpy().astype(float)
     base = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
     bias = float(np.log(max(base, 1e-6) / max(1 - base, 1e-6)))
     if not len(hashes):
         return Model(hashes, np.zeros(0), bias)
 
-    def flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
-        sizes = [len(x) for x in lists]
-        return np.repeat(np.arange(len(lists)), sizes), np.array([f for x in lists for f in x], np.int64)
+    def flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        return np.repeat(np.arange(len(sizes)), sizes), pc.list_flatten(lists).to_numpy().astype(np.int64)
 
-    order = sorted(range(len(own)), key=lambda i: (own[i]["toxic"], own[i]["own"]))  # sums in one order whatever the partitions
-    y = y[order]
-    who, what = flat([own[i]["own"] for i in order])
-    left, right = flat([r["a"] for r in swapped]), flat([r["b"] for r in swapped])
+    who, what = flat(own.column("own"))
+    left, right = flat(swapped.column("a")), flat(swapped.column("b"))
+    times = swapped.column("n").to_numpy().astype(float)
     size = len(hashes)
     w, b = np.zeros(size), bias
     step, past, past_b = np.zeros(size), np.full(size, 1e-8), 1e-8
@@ -212,10 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         error = weight * (p - y) / len(y)
         slope = np.bincount(what, error[who], size) + SHRINK * w / len(y)
         slope_b = error.sum()
-        if swapped:
-            n = len(swapped)
+        if len(times):
+            n = len(times)
             s, t = sigma(b + np.bincount(left[0], w[left[1]], n)), sigma(b + np.bincount(right[0], w[right[1]], n))
-            pull = 2 * SWAP_PENALTY * (s - t) / n
+            pull = 2 * SWAP_PENALTY * (s - t) * times / times.sum()
             up, down = pull * s * (1 - s), pull * t * (1 - t)
             slope += np.bincount(left[1], up[left[0]], size) - np.bincount(right[1], down[right[0]], size)
             slope_b += up.sum() - down.sum()
