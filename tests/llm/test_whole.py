@@ -100,3 +100,31 @@ def test_mixed_disguises_are_found_whole(part, kind):
 @pytest.mark.parametrize("text", ["in 2019, 2020 one came", "we met at noon.Then we left", "look at example dot", "one 12 345 6", "chapter one 2019 2020 2021"])
 def test_plain_numbers_and_words_have_no_disguise(text):
     assert private.all_spans(text) == ([], [])
+
+
+@pytest.mark.parametrize("text, clean", [
+    ("at 192.168.one.five now", "at <ip> now"), ("one nine two.one six eight.one.five", "<ip>"), ("john at example.ca", "<email>"), ("john arroba example punto es", "<email>"),
+    ("a dot b dot c dot d dot e dot f at example dot com", "<email>"), ("john dot smith@example.com", "<email>"), ("john [    at    ] example dot co dot uk", "<email>"),
+    ("ann@b.org, john@example dot com", "<email>, <email>"), ("x" * 500 + " at " + "y" * 300 + " dot com", "<email>"),
+])
+def test_disguises_of_any_length(text, clean):
+    base, added = private.all_spans(text)
+    assert private.masked(text, base + added) == clean and base == [(k, a, b) for k in private.KINDS for a, b in private.base_spans(text)[k]]
+
+
+@pytest.mark.parametrize("text", ["meet me at cafe dot then go", "look at node.js please", "at 5 p.m. at home", "the dot is at the top", "five " * 40])
+def test_prose_with_signs_stays(text):
+    assert private.all_spans(text) == ([], [])
+
+
+def test_scans_grow_in_proportion():
+    import time
+
+    def seconds(text):
+        start = time.process_time()
+        private.all_spans(text)
+        return time.process_time() - start
+
+    for part in ("é bob dot x@example.com а ", "1 dot ", "a at ", "[ ", " ", "one.two.", "five ", "@a dot "):
+        small, large = seconds(part * 10_000), seconds(part * 80_000)
+        assert large < 30 * max(small, 0.02), part
