@@ -286,8 +286,8 @@ def j18(t):
 @check("j19_configured_pages", "SELECT p_partkey AS part, r_name AS page FROM part JOIN region ON regexp_matches(p_name, '^[a-' || chr(CAST(101 + r_regionkey * 3 AS INTEGER)) || ']')")
 def j19(t):
     """A small table of title patterns against every title."""
-    pages = t.region.select(F.col("r_name").alias("page"), F.concat(F.lit("^[a-"), F.char(F.lit(101) + F.col("r_regionkey") * 3), F.lit("]")).alias("pattern"))
-    return t.part.join(pages, F.regexp_like("p_name", "pattern")).select(F.col("p_partkey").alias("part"), "page")
+    pages = t.region.select(F.col("r_name").alias("rule"), F.concat(F.lit("^[a-"), F.char(F.lit(101) + F.col("r_regionkey") * 3), F.lit("]")).alias("pattern"))
+    return resolve.matching_rules(t.part, "p_name", pages).select(F.col("p_partkey").alias("part"), F.col("rule").alias("page"))
 
 
 @check("j20_venue_coordinates", "WITH {lv} SELECT id, CASE WHEN supp % 4 = 0 THEN NULL ELSE 37 + supp / 1000.0 END AS lat FROM lv")

@@ -126,11 +126,38 @@ def reconcile(expected: DataFrame, received: DataFrame) -> DataFrame:
 def token_candidates(items: DataFrame, targets: DataFrame, at_least: int, limit: int, order: list[Column]) -> DataFrame:
     """``items(item, token)`` against ``targets(target, token, ...)``: targets that share tokens, best ``limit`` per item.
 
-    Both sides hold one row per distinct token. The pairs are joined on the token and counted with map-side combine.
+    Both sides hold one row per distinct token. Where two tokens are asked for, rows meet on pairs of tokens, so a word that
+    every target has brings nothing together by itself; n shared tokens are n (n - 1) / 2 shared pairs. Counts combine
+    map-side.
     """
     keep = [name for name in targets.columns if name not in ("target", "token")]
-    pairs = items.join(targets, "token").groupBy("item", "target", *keep).agg(F.count("*").alias("shared"))
-    return top_n(pairs.filter(F.col("shared") >= at_least), ["item"], [F.col("shared").desc(), *order], limit, "place")
+    if at_least < 2:
+        pairs = items.join(targets, "token").groupBy("item", "target", *keep).agg(F.count("*").alias("shared"))
+        return top_n(pairs.filter(F.col("shared") >= at_least), ["item"], [F.col("shared").desc(), *order], limit, "place")
+    met = token_pairs(items, ["item"]).join(token_pairs(targets, ["target", *keep]), "pair").groupBy("item", "target", *keep).agg(F.count("*").alias("_met"))
+    shared = ((1 + F.sqrt(1 + 8 * F.col("_met"))) / 2).cast("long")
+    counted = met.withColumn("shared", shared).drop("_met").filter(F.col("shared") >= at_least)
+    return top_n(counted, ["item"], [F.col("shared").desc(), *order], limit, "place")
+
+
+def token_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, pair)``: all pairs of a row's tokens, the tokens of a title or a path."""
+    words = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("token")).alias("_words"))
+    behind = lambda word, i: F.transform(F.slice("_words", i + 2, F.size("_words")), lambda other: F.concat_ws(" ", word, other))
+    return words.select(*keys, F.explode(F.flatten(F.transform("_words", behind))).alias("pair"))
+
+
+def matching_rules(rows: DataFrame, column: str, rules: DataFrame, most: int = 1000) -> DataFrame:
+    """The rows with the ``rule`` of every pattern that their text matches; ``rules``: ``rule, pattern``.
+
+    A rule table is configuration of a proven size: with more than ``most`` rows this raises instead of comparing every row
+    with every pattern. The patterns travel inside the expression, so nothing is joined.
+    """
+    found = rules.select("rule", "pattern").orderBy("rule", "pattern").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rules; route them by a key first")
+    hits = F.array_compact(F.array(*[F.when(F.regexp_like(F.col(column), F.lit(r["pattern"])), F.lit(r["rule"])) for r in found])) if found else F.array().cast("array<string>")
+    return rows.withColumn("rule", F.explode(hits))
 
 
 def overrides_by_title(events: DataFrame, overrides: DataFrame, order: list[str]) -> DataFrame:
