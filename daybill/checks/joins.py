@@ -121,6 +121,25 @@ def j7(t):
     return catalog.vanished(rows, rows.filter("line % 2 = 0"), succeeded, F.col("active")).select("id")
 
 
+@check(
+    "j7_rechecked_listings",
+    f"""WITH {{lv}}, p AS (SELECT *, part % 7 AS m FROM lv WHERE {_ACTIVE} AND supp % 5 <> 0 AND line % 2 = 1)
+     SELECT id, CASE WHEN supp % 5 = 1 THEN 'untrusted' WHEN m = 0 THEN 'not-fetched' WHEN m = 1 THEN 'other-event' WHEN m = 2 THEN 'cancelled' WHEN m = 3 AND day <> '2026-06-20' THEN 'other-day' ELSE 'confirmed' END AS recheck FROM p""",
+)
+def j7_rechecked(t):
+    """Listings that a feed dropped, against their pages: not there, of another event, cancelled, of another day, or as before."""
+    missing = _previous(t, "day", "part").filter("active AND supp % 5 <> 0 AND line % 2 = 1")
+    mode = F.col("part") % 7
+    says = (
+        F.when(mode == 1, F.lit("Quite another thing")).when(mode == 2, F.concat("title", F.lit(". This event has been cancelled.")))
+        .when(mode == 3, F.concat("title", F.lit(" When: Saturday, June 20, 2026"))).otherwise(F.col("title"))
+    )
+    pages = missing.select("source", "url", F.when(mode == 0, 404).otherwise(200).alias("status"), F.concat(F.lit("<nav>Menu</nav><h1>"), says, F.lit("</h1>")).alias("html"))
+    key = F.col("s_suppkey")
+    sources = t.supplier.select(F.col("s_name").alias("source"), F.concat(F.lit("s"), key.cast("string"), F.lit(".example.org")).alias("domain"), F.when(key % 5 == 1, F.lit("annual-festival")).otherwise(F.lit("rss")).alias("method"))
+    return catalog.rechecked(missing, pages, sources).select("id", "recheck")
+
+
 @check("j8_last_known_good", f"WITH {{lv}} SELECT id, 'stale-source' AS refresh_status FROM lv WHERE {_ACTIVE} AND supp % 5 = 0")
 def j8(t):
     failed = t.supplier.filter("s_suppkey % 5 = 0").select(F.col("s_name").alias("source"))

@@ -146,6 +146,23 @@ def p8(t):
     return feed.visible(facts, feed.FeedQuery(text="ring", type="community", age=7, date="month"), NOW).select("id", "title")
 
 
+@check(
+    "p8_feed_of_sessions",
+    f"""WITH {{lv}}, s AS (SELECT *, {end_sql('date_value', 'end_date_value', '240')} AS effective_end FROM lv),
+     m AS (SELECT * FROM s WHERE effective_end > '{NOW}' AND {OVERLAP(START, END, q('1997-06-01'), q('1997-06-30'))} AND part % 3 = 0 AND contains(lower(title || ' ' || description || ' ' || place || ' ' || address || ' ' || city || ' ' || source), 'ring')),
+     b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY series ORDER BY date_value, id) = 1)
+     SELECT series AS card_id, id AS session_id, row_number() OVER (ORDER BY date_value, title, series) AS place FROM b""",
+)
+def p8_sessions(t):
+    """Saved series by their first active session of the month, by date."""
+    rows = listings(t, "title", "description", "place", "address", "city", "source", "date_value", "end_date_value", "series", "part")
+    cards = rows.groupBy(F.col("series").alias("card_id")).agg(*[F.first(c).alias(c) for c in ("title", "description", "place", "address", "city", "source")])
+    sessions = rows.select(F.col("series").alias("card_id"), F.col("id").alias("session_id"), "date_value", "end_date_value", dates.effective_end("date_value", "end_date_value", F.lit(240)).alias("effective_end"), F.lit("program").alias("format"))
+    saved = rows.filter("part % 3 = 0").select(F.col("series").alias("id"))
+    query = feed.FeedQuery(text="ring", date="month", sort="date", saved=True)
+    return feed.feed_cards(cards, sessions, query, NOW, saved).select("card_id", "session_id", F.col("place").cast("long").alias("place"))
+
+
 _ADULT = (
     f"({rx('description', audience.ADULT_ONLY)} AND NOT {rx('description', audience.CHILD_AUDIENCE)})"
 )

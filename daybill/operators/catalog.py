@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import urls
+from ..functions.dates import explicit_page_day, leading_day
 from ..functions.defaults import key_of, text
+from ..functions.regex import has
+from ..functions.text import plain_text, same_identity, tokens
 from .keep import top_n
 
 # Internal fields that readers never receive.
@@ -104,6 +108,33 @@ def vanished(previous: DataFrame, fresh: DataFrame, succeeded: DataFrame, active
     return candidates.join(fresh.select(key.alias("_key")).distinct(), "_key", "left_anti").drop("_key")
 
 
+# What a page says when its event does not take place.
+PAGE_CANCELLED = r"\b(?:this event (?:has been )?cancell?ed|event cancell?ed)\b"
+
+
+def rechecked(missing: DataFrame, pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """Vanished listings with ``recheck``, what their own page says now; those ``confirmed`` stay with ``revalidated-missing``.
+
+    ``pages``: ``source, url, status, html`` of landed pages; ``sources``: ``source, domain, method``. In order: ``untrusted``
+    (no official address, or pages that are used anew every year), ``not-fetched``, ``other-event`` (the page doesn't carry
+    the title), ``cancelled``, ``other-day`` (the page names another day), ``confirmed``. Pages meet listings on source and address.
+    """
+    asked = missing.join(sources.select("source", text("domain").alias("_domain"), text("method").alias("_method")), "source", "left")
+    host = urls.host("url")
+    official = (F.col("_domain") != "") & ((host == F.col("_domain")) | F.endswith(host, F.concat(F.lit("."), F.col("_domain")))) & (F.col("_method") != "annual-festival")
+    landed = pages.filter(F.col("status").between(200, 299)).select("source", urls.canonical_url("url").alias("_key"), plain_text("html").alias("_text"))
+    landed = landed.groupBy("source", "_key").agg(F.max("_text").alias("_text"))  # one page an address
+    read = asked.withColumn("_key", urls.canonical_url("url")).join(landed, ["source", "_key"], "left")
+    day, shown = leading_day("date_value"), explicit_page_day("_text")
+    verdict = (
+        F.when(~F.coalesce(official, F.lit(False)), F.lit("untrusted")).when(F.col("_text").isNull(), F.lit("not-fetched"))
+        .when(~same_identity(tokens("title", 4), tokens("_text", 4)), F.lit("other-event")).when(has(F.col("_text"), PAGE_CANCELLED), F.lit("cancelled"))
+        .when((shown != "") & (shown != day), F.lit("other-day")).otherwise(F.lit("confirmed"))
+    )
+    judged = read.withColumn("recheck", verdict).drop("_domain", "_method", "_key", "_text")
+    return judged.withColumn("refresh_status", F.when(F.col("recheck") == "confirmed", F.lit("revalidated-missing")).otherwise(F.lit("")))
+
+
 def excluded_by_source(events: DataFrame, sources: DataFrame) -> DataFrame:
     """Drop titles that their source's own pattern excludes (``sources``: ``source, pattern``)."""
     joined = events.join(sources.select("source", "pattern"), "source", "left")
