@@ -99,11 +99,20 @@ def summary_records(rows: DataFrame, key: str, source: str, title: str, format:
 def repaired(rows: DataFrame, key: str, current: str, source: str, title: str, format: str) -> DataFrame:
     """Replacement sentences for summaries with issues, and what happens to each row.
 
-    ``disposition`` is ``clean``, ``repaired``, ``unresolved`` or ``excluded`` (over-long and without a replacement).
+    ``disposition`` is ``clean``, ``repaired``, ``unresolved`` or ``excluded``; ``reason`` says why a row is excluded: training for a
+    profession, or an over-long summary without a replacement. ``description, age_label, age_source`` count when they are there.
+    A replacement is a sentence of the source or its text up to a section heading.
     """
-    flagged = rows.withColumn("issues", summary.semantic_issues(text(current), F.lit(False)))
-    faulty = flagged.filter(F.size("issues") > 0)
-    pieces = sentence_table(faulty, key, source, title, format).filter("acceptable")
+    given = lambda *names: F.concat_ws(" ", *[text(n) for n in names if n in rows.columns])
+    content = F.concat_ws(" ", given(title, "description", current, source))
+    professional = summary.is_professional_only(content, given("age_label", "age_source"))
+    flagged = rows.withColumn("_professional", professional).withColumn("issues", summary.semantic_issues(text(current), F.lit(False)))
+    faulty = flagged.filter((F.size("issues") > 0) & ~F.col("_professional"))
+    every = sentence_table(faulty, key, source, title, format)
+    leads = faulty.select(key, text(title).alias("_t"), text(format).alias("_f"), F.posexplode(summary.heading_lead_ins(strip_markup(source), summary.OVERLONG)).alias("_i", "s"))
+    leads = leads.join(every.groupBy(key).agg(F.max("pos").alias("_last")), key, "left").filter(summary.is_acceptable(F.col("s"), F.col("_t"), F.col("_f")))
+    behind = leads.select(key, (F.coalesce("_last", F.lit(-1)) + 1 + F.col("_i")).alias("pos"), "s")
+    pieces = every.filter("acceptable").select(key, "pos", "s").unionByName(behind)
     candidates = pieces.join(faulty.select(key, current, text(title).alias("_t")), key).filter(
         (F.col("s") != F.col(current)) & (F.length("s") <= summary.OVERLONG) & (F.size(summary.semantic_issues(F.col("s"), F.lit(False))) == 0)
     )
@@ -111,10 +120,12 @@ def repaired(rows: DataFrame, key: str, current: str, source: str, title: str, f
     best = rated.groupBy(key).agg(F.min_by("s", F.struct(-F.col("repair"), F.col("pos"))).alias("replacement"))
     joined = flagged.join(best, key, "left")
     disposition = (
-        F.when(F.size("issues") == 0, F.lit("clean")).when(F.col("replacement").isNotNull(), F.lit("repaired"))
+        F.when(F.col("_professional"), F.lit("excluded")).when(F.size("issues") == 0, F.lit("clean")).when(F.col("replacement").isNotNull(), F.lit("repaired"))
         .when(F.array_contains("issues", "overlong_card_summary"), F.lit("excluded")).otherwise(F.lit("unresolved"))
     )
-    return joined.select(key, "issues", text("replacement").alias("replacement"), disposition.alias("disposition"))
+    reason = F.when(F.col("_professional"), F.lit("professional_only")).when(F.col("disposition") == "excluded", F.lit("unrepairable_overlong_summary")).otherwise(F.lit(""))
+    told = joined.withColumn("disposition", disposition)
+    return told.select(key, "issues", text("replacement").alias("replacement"), "disposition", reason.alias("reason"))
 
 
 def upgraded(rows: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
