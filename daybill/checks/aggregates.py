@@ -51,9 +51,10 @@ _STABLE = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
 @check(
     "a1_series_identity",
     f"""WITH {{lv}}, k AS (SELECT *, {_ACTIVE} AS active, ({_FORMATS})[line % 4 + 1] AS format FROM lv),
+     u AS (SELECT * REPLACE (title || ' ' || part AS title) FROM k),
      n AS (SELECT *, CASE format WHEN 'sports-game' THEN concat_ws(chr(31), format, source, title, place, date_value) WHEN 'live-show' THEN concat_ws(chr(31), format, {_STABLE('source')}, {_STABLE('title')}, {_STABLE('place')}, {_STABLE('city')})
        ELSE concat_ws(chr(31), format, source, title, description, place, address, '', city, '[]', '') END AS key,
-      'series-' || left(sha256(concat_ws(chr(31), source, title, description, place, address, '', city, 'community', '[]', '', '', '', cost_status)), 16) AS legacy FROM k),
+      'series-' || left(sha256(concat_ws(chr(31), source, title, description, place, address, '', city, 'community', '[]', '', '', '', cost_status)), 16) AS legacy FROM u),
      g AS (SELECT key, count(*) AS total, arg_min(id, (date_value, ord, id)) FILTER (WHERE active) AS first_id FROM n GROUP BY key HAVING bool_or(active)),
      c AS (SELECT *, CASE WHEN total = 1 THEN first_id ELSE 'series-' || left(sha256(key), 16) END AS card_id FROM g),
      m AS (SELECT n.*, c.card_id, c.total FROM n LEFT JOIN c USING (key)),
@@ -63,7 +64,7 @@ _STABLE = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
 def a1_identity(t):
     """Every name of the series of a part: rows, cards, ids of older catalogs, and an old id that its series share."""
     rows = with_activity(t, "title", "source", "description", "place", "address", "city", "part", "line", "cost_status").withColumns({
-        "format": _pick(_FORMATS, F.col("line")), "type": F.lit("community"), "meeting_point": F.lit(""), "age_ranges_json": F.lit("[]"), "age_label": F.lit(""),
+        "title": F.concat_ws(" ", "title", F.col("part").cast("string")), "format": _pick(_FORMATS, F.col("line")), "type": F.lit("community"), "meeting_point": F.lit(""), "age_ranges_json": F.lit("[]"), "age_label": F.lit(""),
         "legacy_ids": F.array(F.concat(F.lit("old-"), F.col("part").cast("string"))),
     })
     keyed = rows.withColumn("key", series.series_key())
