@@ -48,14 +48,21 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch on its way to a Python step, unless the session sets its own: rows of long texts would otherwise
+#: come ten thousand at a time.
+ARROW_BYTES = 3_900_000
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application, as ``--py-files`` would.
 
     The driver zips its own copy and Spark serves the file to every executor, so Python steps run where nothing is installed.
+    A session without a bound on the bytes of Arrow batches gets ``ARROW_BYTES``.
     """
     context = spark.sparkContext
+    if spark.conf.get(_ARROW, None) is None:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
