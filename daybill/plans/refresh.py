@@ -72,11 +72,8 @@ def without_duplicates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The kept records with their gaps filled, and ``(id, keeper)`` of all that were compared."""
     ship(rows.sparkSession)
     points = scoring.organizer_priority("url", "image", "source", "place", "verification", "address")
-    featured = durable(duplicates.match_features(rows).withColumn("priority", points).select("ord", "id", "city", "source", "priority", "image", *[c for c in ("m_day", "m_clock", "m_title", "m_words", "m_location", "m_places", "m_number")]))
-    pictured = featured.select("id", (text("image") != "").alias("has_image"))
-    distinct = durable(duplicates.signatures(featured, ORDER).join(pictured, "id"))
-    edges = duplicates.pairs(distinct).unionByName(duplicates.twins(distinct))
-    merged = durable(duplicates.merge_duplicates(distinct.select("id", "slot", "priority", "has_image"), edges, copies=duplicates.copies_of(featured, distinct, ORDER)))
+    featured = duplicates.match_features(rows).withColumn("priority", points).withColumn("has_image", text("image") != "")
+    merged = durable(duplicates.merge_classes(duplicates.classes(featured, "priority", "has_image")))
     unknown = {"cost_status": ["unknown"], "registration_status": ["unknown"]}
     filled = duplicates.fill_from_duplicates(rows, merged, ORDER, FILLED, unknown, TOGETHER).drop("records")
     names = [c for c in filled.columns if c != "id"]
