@@ -263,19 +263,27 @@ def listing_day_range(date_text: str | Column, limit: int = 14) -> Column:
         r"\b(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?"
         r"|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+(\d{1,2})(?:\s*-\s*(\d{1,2}))?,?\s+(20\d{2})\b"
     )
-    month, first, last, year = (first_group(value, pattern, i) for i in (1, 2, 3, 4))
-    month = month_number(month)
-    low = first.try_cast("int")
-    high = F.when(F.length(last) > 0, last.try_cast("int")).otherwise(low)
-    usable = F.coalesce(month.isNotNull() & (high >= low), F.lit(False))
-    iso = lambda d: F.concat_ws("-", year, _pad(month), _pad(d))
-    none = F.array().cast("array<string>")
-    short = usable & (high - low <= limit)
-    return F.struct(
-        F.when(usable, iso(low)).otherwise(F.lit("")).alias("first"), F.when(usable, iso(high)).otherwise(F.lit("")).alias("last"),
-        F.when(short, F.transform(F.sequence(low, high), iso)).otherwise(none).alias("days"),
-        F.when(short, F.lit("days")).when(usable, F.lit("range")).otherwise(F.lit("none")).alias("status"),
-    )
+
+    # Texts, then numbers, are bound once: an unbound part would be searched again at each of its uses.
+    def numbers(found: Column) -> Column:
+        low = found["first"].try_cast("int")
+        high = F.when(F.length(found["last"]) > 0, found["last"].try_cast("int")).otherwise(low)
+        return F.struct(month_number(found["month"]).alias("month"), low.alias("low"), high.alias("high"), found["year"].alias("year"))
+
+    def ranged(n: Column) -> Column:
+        low, high = n["low"], n["high"]
+        usable = F.coalesce(n["month"].isNotNull() & (high >= low), F.lit(False))
+        iso = lambda d: F.concat_ws("-", n["year"], _pad(n["month"]), _pad(d))
+        none = F.array().cast("array<string>")
+        short = usable & (high - low <= limit)
+        return F.struct(
+            F.when(usable, iso(low)).otherwise(F.lit("")).alias("first"), F.when(usable, iso(high)).otherwise(F.lit("")).alias("last"),
+            F.when(short, F.transform(F.sequence(low, high), iso)).otherwise(none).alias("days"),
+            F.when(short, F.lit("days")).when(usable, F.lit("range")).otherwise(F.lit("none")).alias("status"),
+        )
+
+    groups = lambda v: F.struct(*[first_group(v, pattern, i).alias(name) for i, name in enumerate(("month", "first", "last", "year"), 1)])
+    return let(let(let(value, groups), numbers), ranged)
 
 
 def season_year(month_name: Column, first_year: Column, second_year: Column) -> Column:
