@@ -19,9 +19,11 @@ def sentence_table(rows: DataFrame, key: str, source: str, title: str, format: s
         key, text(title).alias("_t"), text(format).alias("_f"),
         let(strip_markup(source), lambda v: F.struct(summary.merged_sentences(v, F.col(title)).alias("list"), has(v, summary.WHOLE_FAMILY).alias("whole"))).alias("_p"),
     )
-    exploded = parts.select(key, "_t", "_f", F.col("_p.whole").alias("_whole"), F.posexplode("_p.list").alias("pos", "s"))
-    judged = exploded.withColumn("acceptable", summary.is_acceptable(F.col("s"), F.col("_t"), F.col("_f")))
-    return judged.withColumn("score", summary.sentence_score(F.col("s"), F.col("pos"), F.col("_whole"))).select(key, "pos", "s", "acceptable", "score")
+    cued = F.transform("_p.list", lambda s: F.struct(s.alias("s"), summary.cue_words(s).alias("cues")))
+    exploded = parts.select(key, "_t", "_f", F.col("_p.whole").alias("_whole"), F.posexplode(cued).alias("pos", "_s")).select("*", F.col("_s.s").alias("s"))
+    sentence = summary.Cued(F.col("s"), F.col("_s.cues"))
+    judged = exploded.withColumn("acceptable", summary.is_acceptable(sentence, F.col("_t"), F.col("_f")))
+    return judged.withColumn("score", summary.sentence_score(sentence, F.col("pos"), F.col("_whole"))).select(key, "pos", "s", "acceptable", "score")
 
 
 def best_sentences(table: DataFrame, key: str) -> DataFrame:
