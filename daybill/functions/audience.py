@@ -172,7 +172,7 @@ def _age_clues(body: Column) -> Column:
     return let(F.lower(body), lambda lower: F.struct(
         explicit_ranges(body).alias("explicit"), let(grade_ranges(lower), drop_contained).alias("grades"), band_ranges(lower).alias("bands"),
         has(body, FAMILY_WORD).alias("family"), has(body, WHOLE_FAMILY).alias("whole"), has(body, UNIVERSAL).alias("universal"),
-        has(body, ALL_AGES).alias("all_ages"), first_group(body, UP_PATTERN).try_cast("int").alias("up"),
+        has(body, ALL_AGES).alias("all_ages"), F.nullif(first_group(body, UP_PATTERN), F.lit("")).try_cast("int").alias("up"),  # a failed cast is dear
     ))
 
 
