@@ -35,3 +35,25 @@ def test_names_meet_both_tables_at_once(spark):
     with contextlib.redirect_stdout(shown):
         _matched(spark).select("id", "translation_status").explain()
     assert shown.getvalue().count("legacy_ids#") and shown.getvalue().count("Generate posexplode") == 1
+
+
+def test_own_names_do_not_travel(spark):
+    """Events meet entries of their own id where they are, and both kinds of names share one shuffle of the entries."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    shown = io.StringIO()
+    try:
+        with contextlib.redirect_stdout(shown):
+            _matched(spark).select("id", "translation_status").explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    plan = shown.getvalue()
+    assert "posexplode(legacy_ids" in plan and plan.count("ReusedExchange [entry_id") == 1
+
+
+def test_equal_ids_stay(spark):
+    events = spark.createDataFrame([("a", ["old-a"], "1"), ("a", ["old-a"], "1"), ("b", None, "2")], EVENTS)
+    entries = spark.createDataFrame([("old-a", "1", "approved", True, "2026", 1)], ENTRIES)
+    assert sorted(r.translation_status for r in resolve.matching_revision(events, entries, entries).collect()) == ["current", "current", "missing"]
